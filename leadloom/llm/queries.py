@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, capping, copies, mixing
+from . import bpe, capping, copies, lookalike, mixing
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.over_cap(rows, max_count=15).select(F.col("id").alias("lead_id"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of leads whose names and city look the same and aren't the same strings."""
+    return lookalike.alike_pairs(table(spark, sf_dir, "leads"), "lead_id", ["display_name", "store_name", "city"])
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of the names and the city of every lead."""
+    columns = ["display_name", "store_name", "city"]
+    made = lookalike.consistent(table(spark, sf_dir, "leads").select("lead_id", *columns), columns)
+    return made.select("lead_id", *[F.col(f"{c}_form").alias(c) for c in columns])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_table(table(spark, sf_dir, "documents"))
@@ -47,7 +59,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p2_found, p2_records, p5_found, p7_ids, p8_mix, p8_shares]
+    made = [p2_found, p2_records, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares]
     return {f.__name__: f for f in made}
 
 
