@@ -6,9 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import schema_drift
+from .session import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of fields from file to file of a feed."""
+    return schema_drift.changes(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_rows"))
+
+
+def p1_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent lead table over all files."""
+    return schema_drift.consistent_table(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_rows"))
+
+
+def p1_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of every field of every feed and where they appear first."""
+    return schema_drift.alternatives(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_rows"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    made = [p1_found, p1_table, p1_alternatives]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
