@@ -29,11 +29,11 @@ KEY = "lead_id"
 def kind(value: Column) -> Column:
     """JSON type of a variant: integer, decimal, string, boolean, array, object; null for null."""
     name = F.schema_of_variant(value)
-    text = value.cast("string")
     return (
         F.when(name == "VOID", None).when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "BIGINT", "integer")
         .when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("DECIMAL") & ~F.contains(text, F.lit(".")) & name.endswith(",0)"), "integer").otherwise("decimal")
+        # whole numbers are BIGINT up to 18 digits; a shorter DECIMAL(n,0) was written with a decimal point
+        .when(name.rlike(r"^DECIMAL\((19|[2-9]\d),0\)"), "integer").otherwise("decimal")
     )
 
 
