@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, capping, copies, lookalike, mixing
+from . import bpe, capping, copies, lookalike, mixing, mojibake
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(lines).select(F.col("first_id").alias("first_line_id"), "copies")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that hold text decoded with a wrong encoding."""
+    return p4_restored(spark, sf_dir).select("name_id", "field")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled values with their restored text and the confused encodings."""
+    return mojibake.garbled_fields(table(spark, sf_dir, "site_names"), "name_id", ["original_title", "display_name", "name_warning"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads beyond the 15 best of a contributor in a run."""
     leads = table(spark, sf_dir, "leads")
@@ -39,8 +49,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of the names and the city of every lead."""
     columns = ["display_name", "store_name", "city"]
-    made = lookalike.consistent(table(spark, sf_dir, "leads").select("lead_id", *columns), columns)
-    return made.select("lead_id", *[F.col(f"{c}_form").alias(c) for c in columns])
+    return lookalike.consistent(table(spark, sf_dir, "leads"), "lead_id", columns).select("lead_id", *columns)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +68,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p2_found, p2_records, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares]
+    made = [p2_found, p2_records, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares]
     return {f.__name__: f for f in made}
 
 
