@@ -21,10 +21,12 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 # Letters that look like another letter; each line maps its first text to its second, letter by letter.
 LETTERS = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχγκ", "ABEZHIKMNOPTYXaivopuxyk"),  # Greek
@@ -109,35 +111,35 @@ def forms(texts: DataFrame) -> DataFrame:
     return rebuilt.withColumn("form", F.trim("form"))
 
 
-def consistent(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with ``<column>_form`` added for each of ``columns``."""
+def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key``, ``raw`` (digest of the columns as they are) and the consistent form of each of ``columns`` under its own name."""
     pattern = changing(points())
-    out = rows
-    texts = None
-    for c in columns:
-        # blank texts without any visible point don't come back from the explosion
-        part = rows.where(F.col(c).rlike(pattern)).select(F.col(c).alias("text"))
-        texts = part if texts is None else texts.unionAll(part)
-    made = forms(texts)
-    for c in columns:
-        mine = made.select(F.col("text").alias(f"{c}_text"), F.col("form").alias(f"{c}_made"))
-        key = F.when(F.col(c).rlike(pattern), F.col(c))
-        out = out.withColumn(f"{c}_key", key).join(mine, F.col(f"{c}_key") == F.col(f"{c}_text"), "left")
-        out = out.withColumn(f"{c}_form", F.when(F.col(f"{c}_key").isNull(), F.col(c)).otherwise(F.coalesce(f"{c}_made", F.lit("")))).drop(f"{c}_key", f"{c}_text", f"{c}_made")
-    return out
+    raw = F.unhex(F.md5(F.to_json(F.struct(*columns))))
+    moving = F.coalesce(F.greatest(*[F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in columns]) if len(columns) > 1 else F.col(columns[0]).rlike(pattern), F.lit(False))
+    marked = rows.select(F.col(key), raw.alias("raw"), *columns, moving.alias("moving"))
+    still = marked.where(~F.col("moving")).select(key, "raw", *columns)
+    each = marked.where("moving").select(key, "raw", F.posexplode(F.array(*columns)).alias("at", "text"))
+    needed = each.where(F.col("text").rlike(pattern))
+    made = cut(forms(needed.select("text")))
+    changed = needed.join(made, "text", "left").select(key, "raw", "at", F.coalesce("form", F.lit("")).alias("form"))
+    kept = each.where(F.coalesce(~F.col("text").rlike(pattern), F.lit(True))).select(key, "raw", "at", F.col("text").alias("form"))
+    # repeated rows give repeated values; they come back as one row with their number
+    wide = changed.unionAll(kept).groupBy(key, "raw").agg(
+        *[F.max(F.when(F.col("at") == i, F.col("form"))).alias(c) for i, c in enumerate(columns)], F.sum(F.when(F.col("at") == 0, 1)).alias("times")
+    )
+    again = wide.select(key, "raw", *columns, F.explode(F.expr("array_repeat(1, cast(times as int))")).alias("one")).drop("one")
+    return still.unionAll(again)
 
 
-def alike_pairs(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+def alike_pairs(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Pairs of rows whose ``columns`` are all filled and look the same, but aren't all the same strings."""
-    made = consistent(rows.select(id_column, *columns), columns)
-    for c in columns:
-        made = made.where(F.col(f"{c}_form") != "")
-    form = F.md5(F.to_json(F.struct(*[f"{c}_form" for c in columns])))
-    raw = F.md5(F.to_json(F.struct(*columns)))
-    keyed = made.select(F.col(id_column).alias("id"), form.alias("form"), raw.alias("raw"))
+    filled = " and ".join(f"`{c}` is not null and `{c}` <> ''" for c in columns)
+    made = consistent(rows.where(filled), key, columns).where(filled)
+    form = F.unhex(F.md5(F.to_json(F.struct(*columns))))
+    keyed = cut(made.select(F.col(key).alias("id"), form.alias("form"), "raw"))
     # groups of one writing have no pairs, however many copies they hold
     varied = keyed.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
     kept = keyed.join(varied, "form", "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
     pairs = a.join(b, F.expr("a.form = b.form and a.raw <> b.raw and a.id < b.id"))
-    return pairs.select(F.col("a.id").alias(f"{id_column}_a"), F.col("b.id").alias(f"{id_column}_b"))
+    return pairs.select(F.col("a.id").alias(f"{key}_a"), F.col("b.id").alias(f"{key}_b"))
