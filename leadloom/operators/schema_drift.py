@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Words for yes and no.
 YES, NO = ["true", "あり", "有", "○", "◯", "yes", "はい"], ["false", "なし", "無", "×", "✕", "no", "いいえ"]
 KEY = "lead_id"
@@ -119,13 +121,13 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
 def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its feed: ``file_id, change, old_field, new_field``."""
     order = file_order(files).where("before_id is not null").select("file_id", "before_id")
-    schemas = file_schemas(rows)
+    # fields of files and their renames are few beside the rows; cut, the payloads are parsed twice and not for each branch
+    schemas = cut(file_schemas(rows))
     now = order.join(schemas, "file_id").select("file_id", "before_id", "field", F.col("kinds").alias("now"))
     was = order.join(schemas.withColumnRenamed("file_id", "before_id"), "before_id").select("file_id", "before_id", "field", F.col("kinds").alias("was"))
-    # a file without any field can't be compared, nor can one after such a file
-    both = now.join(was, ["file_id", "before_id", "field"], "full")
+    both = cut(now.join(was, ["file_id", "before_id", "field"], "full"))
     gone, come = both.where("now is null"), both.where("was is null")
-    moved = renames(rows, gone.select("file_id", "before_id", "field"), come.select("file_id", "before_id", "field"))
+    moved = cut(renames(rows, gone.select("file_id", "before_id", "field"), come.select("file_id", "before_id", "field")))
     old, new = moved.select("file_id", F.col("old_field").alias("field")), moved.select("file_id", F.col("new_field").alias("field"))
     row = lambda change, a, b: [F.col("file_id"), F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field")]
     field, none = F.col("field"), F.lit("")
@@ -149,7 +151,7 @@ def lineage(files: DataFrame, rows: DataFrame) -> DataFrame:
     What is gathered per feed are its renames, a few for each file; values are never gathered.
     """
     order = file_order(files)
-    held = order.join(file_schemas(rows), "file_id").select("feed", "seq", "file_id", "field")
+    held = order.join(cut(file_schemas(rows)), "file_id").select("feed", "seq", "file_id", "field")
     moved = changes(files, rows).where("change = 'renamed'").select("file_id", F.col("old_field").alias("from_field"), F.col("new_field").alias("field"))
     tagged = held.join(moved, ["file_id", "field"], "left")
 
