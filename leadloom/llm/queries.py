@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, capping, copies, lookalike, mixing, mojibake
+from . import bpe, capping, copies, langid, lookalike, mixing, mojibake
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong language label or paragraphs of several languages, a row for each language."""
+    documents = table(spark, sf_dir, "documents")
+    return langid.found(documents, langid.fit(documents))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document (segment 0) and every paragraph."""
+    documents = table(spark, sf_dir, "documents")
+    return langid.segments(documents, langid.fit(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p2_found, p2_records, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares]
+    made = [p2_found, p2_records, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_segments]
     return {f.__name__: f for f in made}
 
 
