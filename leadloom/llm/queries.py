@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, capping, copies, langid, lookalike, mixing, mojibake
+from . import addresses, bpe, capping, copies, langid, lookalike, mixing, mojibake
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(lines).select(F.col("first_id").alias("first_line_id"), "copies")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages that lie at the same place."""
+    return addresses.same_place(table(spark, sf_dir, "city_pages"), "page_id", ["address", "contact_page_address"])
+
+
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every page that shares one with another page."""
+    return addresses.located(table(spark, sf_dir, "city_pages"), "page_id", ["address", "contact_page_address"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that hold text decoded with a wrong encoding."""
     return p4_restored(spark, sf_dir).select("name_id", "field")
@@ -80,7 +90,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p2_found, p2_records, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_segments]
+    made = [p2_found, p2_records, p3_found, p3_places, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_segments]
     return {f.__name__: f for f in made}
 
 
