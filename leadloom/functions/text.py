@@ -23,9 +23,7 @@ def pick(df: DataFrame, names: Sequence[str], loose: bool = True) -> Column:
 
     With ``loose``, headers also match without regard to BOM, width, letter case and space.
     """
-    found = [c for n in names for c in df.columns if c == n]
-    if loose:
-        found += [c for n in names for c in df.columns if c not in found and header_key(c) == header_key(n)]
+    found = [c for n in names for same in ((lambda c: c == n), (lambda c: loose and header_key(c) == header_key(n))) for c in df.columns if same(c)]
     blank = lambda c: F.when(strip(F.col(f"`{c}`").cast("string")) != "", strip(F.col(f"`{c}`").cast("string")))
     return F.coalesce(*[blank(c) for c in dict.fromkeys(found)], F.lit(""))
 

@@ -49,7 +49,7 @@ def normalize_strict(url: Column) -> Column:
     u = with_scheme(url)
     host = F.regexp_replace(F.lower(netloc(u)), r"^www\.", "")
     p = path(u)
-    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
+    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/+\z", ""))
     q = drop_params(query(u), TRACKING_PARAMS)
     out = F.concat(F.lit("https://"), host, F.when(p == "", "/").otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(out)
@@ -58,18 +58,18 @@ def normalize_strict(url: Column) -> Column:
 def normalize_key(url: Column) -> Column:
     """Deduplication key: scheme and host in small letters without www., path without trailing slashes, nothing else."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    return F.concat(scheme, F.lit("://"), F.regexp_replace(F.lower(netloc(url)), r"^www\.", ""), F.regexp_replace(path(url), "/+$", ""))
+    return F.concat(scheme, F.lit("://"), F.regexp_replace(F.lower(netloc(url)), r"^www\.", ""), F.regexp_replace(path(url), r"/+\z", ""))
 
 
 def normalize_web(url: Column) -> Column:
     """Cut at '#'; trailing slashes go if more than three slashes stand in the address."""
     u = F.substring_index(url, "#", 1)
-    return F.when(F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit(""))) > 3, F.regexp_replace(u, "/+$", "")).otherwise(u)
+    return F.when(F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit(""))) > 3, F.regexp_replace(u, r"/+\z", "")).otherwise(u)
 
 
 def normalize_legacy(url: Column) -> Column:
     """Host and path in small letters without trailing slashes."""
-    return F.lower(F.regexp_replace(F.concat(netloc(url), path(url)), "/+$", ""))
+    return F.lower(F.regexp_replace(F.concat(netloc(url), path(url)), r"/+\z", ""))
 
 
 def normalize_sheet(url: Column) -> Column:
@@ -77,7 +77,7 @@ def normalize_sheet(url: Column) -> Column:
     u = strip(url)
     u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)
     u = F.substring_index(with_scheme(u), "#", 1)
-    p = F.when(path(u) == "/", "/").otherwise(F.regexp_replace(path(u), "/+$", ""))
+    p = F.when(path(u) == "/", "/").otherwise(F.regexp_replace(path(u), r"/+\z", ""))
     q = drop_params(query(u), ["fbclid", "gclid"], ["utm_"])
     out = F.concat(F.regexp_extract(u, r"^(https?)://", 1), F.lit("://"), netloc(u), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(out)
@@ -178,7 +178,7 @@ def path_priority(url: Column, preferred: Sequence[str] = tuple(PREFERRED_PATHS)
 def process_priority(url: Column) -> list[Column]:
     """Four sort keys of the processing order: national domain, builder platform, business path, depth; smaller is earlier."""
     u = F.lower(url)
-    dom, p = F.replace(netloc(u), F.lit("www."), F.lit("")), F.regexp_replace(path(u), "/+$", "")
+    dom, p = F.replace(netloc(u), F.lit("www."), F.lit("")), F.regexp_replace(path(u), r"/+\z", "")
     depth = F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
     return [
         F.when(dom.endswith(".jp"), -2).otherwise(2).cast("int"), F.when(contains_any(dom, JP_PLATFORMS[:11]), 1).otherwise(0).cast("int"),

@@ -29,12 +29,12 @@ def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, s
 
 def suffix_semi(left: DataFrame, domain: Column, listed: DataFrame, column: str, anti: bool = False) -> DataFrame:
     """Rows whose domain is listed or lies under a listed one (or, with ``anti``, the others), by an equi-join on exploded suffixes."""
-    keyed = left.withColumn("_row", F.struct(*left.columns)).withColumn("_suffixes", suffixes(domain))
-    hits = keyed.select("_row", F.explode("_suffixes").alias("_s")).join(listed.select(F.col(column).alias("_s")).distinct(), "_s", "left_semi").select("_row").distinct()
-    if not anti:
-        return hits.select("_row.*")
-    rest = keyed.join(hits.withColumnRenamed("_row", "_hit"), F.col("_row").eqNullSafe(F.col("_hit")), "left_anti")
-    return rest.drop("_row", "_suffixes")
+    keyed = left.withColumn("_domain", domain)
+    # each domain is looked up once, however many rows it has
+    domains = keyed.select("_domain").where("_domain is not null").distinct()
+    wanted = listed.select(F.col(column).alias("_s")).distinct()
+    hits = domains.select("_domain", F.explode(suffixes(F.col("_domain"))).alias("_s")).join(wanted, "_s", "left_semi").select("_domain").distinct()
+    return keyed.join(hits, "_domain", "left_anti" if anti else "left_semi").drop("_domain")
 
 
 def marked_by_suffix(left: DataFrame, key: str, domain: Column, listed: DataFrame, column: str) -> DataFrame:

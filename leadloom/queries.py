@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import schema_drift
+from .plans import kpi_queries, relational_queries, url_queries  # noqa: F401
+from .plans.kpi_queries import flagship  # noqa: F401
+from .plans.registry import ORACLE, QUERIES
 from .session import table
 
 
@@ -27,8 +30,8 @@ def p1_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [p1_found, p1_table, p1_alternatives]
-    return {f.__name__: f for f in made}
+    return {f.__name__: f for f in made} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
