@@ -98,6 +98,7 @@ def automaton():
     east, latin = repertoire()
     held: dict[str, dict[int, int]] = {}
     follow = [b"\xe3", *[bytes([n]) for n in range(0xE4, 0xEA)], b"\xef", b"\xe2", b"\xc3", b" ", b"-"]
+    letters = [bytes([n]) for n in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
     for at, (true, wrong) in enumerate(PAIRS):
         for ch in east + latin:
             small = ch in latin
@@ -107,8 +108,13 @@ def automaton():
             seqs = {to_text(data, wrong)}
             if wrong in WIDE:
                 # the last byte may form a character with the next one
-                after = [bytes([n]) for n in (*range(0x41, 0x5B), *range(0x61, 0x7B), 0x20)] if small else follow if true == "utf-8" else [b"\xa4", b"\xa5", b"\x82", b"\x83"] + [bytes([n]) for n in range(0xB0, 0xD0)]
-                seqs |= {to_text(data + f, wrong) for f in after if small or len(data) % 2}
+                after = [*letters, b" "] if small else follow if true == "utf-8" else [b"\xa4", b"\xa5", b"\x82", b"\x83"] + [bytes([n]) for n in range(0xB0, 0xD0)]
+                if ch in PUNCTUATION:
+                    after = [*after, *letters]
+                if small or len(data) % 2 or None in seqs:
+                    seqs |= {to_text(data + f, wrong) for f in after}
+                if data[:1] == b"\xef" and wrong == "cp932":  # its first byte is lost
+                    seqs |= {to_text(data[1:] + f, wrong) for f in after}
                 seqs = {s if s is None or s[-1] not in " -" and not s[-1].isascii() else s[:-1] for s in seqs}
             for s in seqs:
                 if s and len(s) >= 2 and not s.isascii():
@@ -135,13 +141,26 @@ def swallowed() -> frozenset[str]:
     return frozenset(x for x in made if x and not x.isascii() and (len(x) > 1 or is_han(x)))
 
 
+#: Half-width kana without voicing marks whose bytes are common ideographs of the other Japanese encoding.
+HALF = re.compile("(?:[ｰ-ﾏ][｡-ﾝ]){3,}")
+#: Three first bytes of ideographs between other characters, as single-byte text.
+LEADS = re.compile("(?:[ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][!-ÿ€-™]){2}|[à-ê][!-ÿ€-™](?:[ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ][!-ÿ€-™]){2}")
+#: Ideographs as pairs of high Latin-1 characters: six of them, or four with signs among them.
+HIGH = re.compile("(?:[°-Ï][¡-þ]){3,}|(?=.*[¡-¿].*[¡-¿])(?:[°-Ï][¡-þ]){2}")
+#: Separators of the other Japanese encoding at Latin words, and private characters, which no decoder gives for sound text.
+BROKEN = re.compile("(?<=[A-Za-z])(?:｡[｢ｨﾃｦ]|¡[¢¨Ã¦])|(?:｡[｢ｨﾃｦ]|¡[¢¨Ã¦])(?=[A-Za-z])|[\ue000-\uf8ff\x80-\x84\x86-\x9f]")
+
 #: A lone letter of another script at a Latin word: Cyrillic, or what may be a swallowed letter.
-LONE = re.compile("(?<=[A-Za-z])(?:[Ѐ-ӿ](?![Ѐ-ӿ])|(?P<a>[⺀-鿿ｦ-ﾟ]{1,2})(?![⺀-鿿ｦ-ﾟ]))|(?<![Ѐ-ӿA-Za-z⺀-鿿ｦ-ﾟ])(?:[Ѐ-ӿ]|(?P<b>[⺀-鿿ｦ-ﾟ]{1,2}))(?=[a-z]{2})")
+LONE = re.compile("(?<=[A-Za-z])(?:[Ѐ-ӿ](?![Ѐ-ӿ])|(?P<a>[⺀-鿿ｦ-ﾟ]{1,4})(?![⺀-鿿ｦ-ﾟ]))|(?<![Ѐ-ӿA-Za-z⺀-鿿ｦ-ﾟ])(?:[Ѐ-ӿ]|(?P<b>[⺀-鿿ｦ-ﾟ]{1,4}))(?=[a-z]{2})")
 
 
 def lone_letters(text: str) -> list[tuple[int, int]]:
     """Spans of lone letters at Latin words."""
-    return [m.span() for m in LONE.finditer(text) if (east := m["a"] or m["b"]) is None or east in swallowed()]
+
+    def letters_only(east: str) -> bool:
+        return any((new := to_text(to_bytes(east, w) or b"\xff", t)) and set(new) <= SMALL for t, w in (("euc_jp", "cp932"), ("utf-8", "cp932"), ("utf-8", "gbk")))
+
+    return [m.span() for m in LONE.finditer(text) if (east := m["a"] or m["b"]) is None or east in swallowed() or len(east) > 2 and letters_only(east)]
 
 
 def respell(text: str, at: int, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -204,12 +223,12 @@ def spans_of(text: str) -> dict[int, list[tuple[int, int]]]:
                     if re.search("[A-Za-z]", near) and not re.search("[ｦ-ﾟ]", near):
                         spans.append((a, b))
                 elif wrong in WIDE:
-                    if b - a >= 4 and kana >= 2:
+                    if b - a >= 4 and (kana >= 2 or kana and a == 0 and b == len(text)) or wrong == "cp932" and true == "euc_jp" and HALF.fullmatch(text[a:b]):
                         spans.append((a, b))
                 elif wrong == "cp1251" or re.search("[A-Za-z ]{2}", text[a:b]):
                     if b - a >= 4 and kana >= 2:
                         spans.append((a, b))
-                elif b - a >= 4 and (kana >= 2 or kana and (true == "euc_jp" or b - a >= 6) or re.search("[\x80-\x9f]", text[a:b]) or b - a >= 8):
+                elif b - a >= 4 and (kana >= 2 or kana and (true == "euc_jp" or b - a >= 6) or re.search("[\x80-\x9f]", text[a:b]) or b - a >= 8 or LEADS.search(text[a:b]) or true == "euc_jp" and HIGH.fullmatch(text[a:b])):
                     spans.append((a, b))
         if spans:
             out[at] = spans
@@ -220,7 +239,7 @@ def inspect(text: str | None) -> tuple[bool, str | None, str | None]:
     """Whether a text is garbled, the restored text (None if sound or beyond repair) and the encodings that were confused."""
     if not text or text.isascii():
         return False, None, None
-    garbled, how, now = LOST in text, [], text
+    garbled, how, now = LOST in text or bool(BROKEN.search(text)), [], text
     for _ in range(4):
         spans = {at: v for at, v in spans_of(now).items() if not (PAIRS[at][1] in WIDE and "/".join(PAIRS[at]) in how)}
         tried = [(respell(now, at, v), at) for at, v in spans.items()]
