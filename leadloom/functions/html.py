@@ -36,9 +36,7 @@ def meta(html: Column, name: str) -> Column:
 def emails(text: Column, false_endings: Sequence[str] = (".png", ".jpg", ".gif")) -> Column:
     """Addresses in order of their first appearance, small letters."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"), F.lit(1)), F.lower))
-    for e in false_endings:
-        found = F.filter(found, lambda x, e=e: ~x.endswith(e))
-    return found
+    return F.filter(found, lambda x: ~x.rlike("(" + "|".join(e.replace(".", r"\.") for e in false_endings) + r")\z")) if false_endings else found
 
 
 def phone_link(html: Column) -> Column:
