@@ -5,7 +5,7 @@ All are expressions of built-in functions. Null gives null unless said otherwise
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from .rules import BUSINESS_PATHS, FOREIGN_TLDS, JP_PLATFORMS, JUNK_EXTENSIONS, JUNK_PATHS, PREFERRED_PATHS, TRACKING_PARAMS, contains_any
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -46,13 +51,15 @@ def drop_params(q: Column, names: Sequence[str], prefixes: Sequence[str] = ()) -
 
 def normalize_strict(url: Column) -> Column:
     """https, host in small letters without leading www., no tracking parameters, fragment or trailing slash; '' for blank."""
-    u = with_scheme(url)
-    host = F.regexp_replace(F.lower(netloc(u)), r"^www\.", "")
-    p = path(u)
-    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/+\z", ""))
-    q = drop_params(query(u), TRACKING_PARAMS)
-    out = F.concat(F.lit("https://"), host, F.when(p == "", "/").otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(out)
+
+    def build(u: Column) -> Column:
+        host = F.regexp_replace(F.lower(netloc(u)), r"^www\.", "")
+        p = F.regexp_replace(path(u), r"/+\z", "")
+        q = F.when(F.contains(u, F.lit("?")), drop_params(query(u), TRACKING_PARAMS)).otherwise("")
+        tail = let(q, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(""))
+        return F.concat(F.lit("https://"), host, let(p, lambda x: F.when(x == "", "/").otherwise(x)), tail)
+
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(let(with_scheme(url), build))
 
 
 def normalize_key(url: Column) -> Column:
@@ -118,20 +125,26 @@ def is_web_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?://[^/?#]+") & (host != "localhost") & ~host.endswith(".local"), F.lit(False))
 
 
-def origin(url: Column) -> tuple[Column, Column]:
-    """(origin, error) of an address: INVALID_URL, INVALID_SCHEME, MISSING_HOST, IP_HOST, NON_PUBLIC_HOST, INVALID_TLD or null."""
-    u = strip(url)
-    auth = F.regexp_replace(netloc(u), "^.*@", "")
-    host = F.lower(F.when(auth.startswith("["), F.regexp_extract(auth, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(auth, r":\d*$", "")))
-    port = F.regexp_extract(auth, r":(\d+)$", 1)
+def origin(url: Column) -> Column:
+    """Struct of ``origin`` and ``error`` of an address: INVALID_URL, INVALID_SCHEME, MISSING_HOST, IP_HOST, NON_PUBLIC_HOST, INVALID_TLD or null."""
     octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    error = (
-        F.when(F.coalesce(url, F.lit("")) == "", "INVALID_URL").when(~F.lower(u).rlike("^https?:"), "INVALID_SCHEME").when(host == "", "MISSING_HOST")
-        .when(host.rlike(rf"^{octet}(\.{octet}){{3}}$") | F.contains(host, F.lit(":")), "IP_HOST")
-        .when((host == "localhost") | host.rlike(r"\.(local|internal|lan)$"), "NON_PUBLIC_HOST").when(~F.contains(host, F.lit(".")), "INVALID_TLD")
-    )
-    made = F.concat(F.lit("https://"), host, F.when((port != "") & (port != "0"), F.concat(F.lit(":"), port)).otherwise(""))
-    return F.when(error.isNull(), made), error
+
+    def host_of(auth: Column) -> Column:
+        return F.lower(F.when(auth.startswith("["), F.regexp_extract(auth, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(auth, r":\d*\z", "")))
+
+    def error_of(x: Column) -> Column:
+        host = x["host"]
+        return (
+            F.when(x["url"] == "", "INVALID_URL").when(~F.lower(x["url"]).rlike("^https?:"), "INVALID_SCHEME").when(host == "", "MISSING_HOST")
+            .when(host.rlike(rf"^{octet}(\.{octet}){{3}}$") | F.contains(host, F.lit(":")), "IP_HOST")
+            .when((host == "localhost") | host.rlike(r"\.(local|internal|lan)$"), "NON_PUBLIC_HOST").when(~F.contains(host, F.lit(".")), "INVALID_TLD")
+        )
+
+    def made(x: Column) -> Column:
+        return F.concat(F.lit("https://"), x["host"], F.when((x["port"] != "") & (x["port"] != "0"), F.concat(F.lit(":"), x["port"])).otherwise(""))
+
+    parts = let(strip(F.coalesce(url, F.lit(""))), lambda u: let(F.regexp_replace(netloc(u), "^.*@", ""), lambda a: F.struct(u.alias("url"), host_of(a).alias("host"), F.regexp_extract(a, r":(\d+)\z", 1).alias("port"))))
+    return let(parts, lambda x: let(error_of(x), lambda e: F.struct(F.when(e.isNull(), made(x)).alias("origin"), e.alias("error"))))
 
 
 def same_site(a: Column, b: Column) -> Column:

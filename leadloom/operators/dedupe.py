@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import computed
+
 
 def keep_first(df: DataFrame, key: Sequence[Column], order: Sequence[Column], drop_blank: bool = False) -> DataFrame:
     """The first row of each key by ``order``; rows with a blank or null key part are dropped on request."""
@@ -36,11 +38,9 @@ def keep_latest(df: DataFrame, key: Sequence[Column], time: Column, seq: Column,
 
 def keep_best_two_keys(df: DataFrame, first: Column, second: Column, score: Column, seq: Column) -> DataFrame:
     """Best row by the first key, for rows without it by the second; rows without either are dropped."""
-    tagged = df.withColumns({"_first": first, "_second": second})
-    one = tagged.where("_first <> ''")
-    two = tagged.where("coalesce(_first, '') = '' and _second <> ''")
-    best = lambda d, k: keep_best(d, [F.col(k)], score, seq)
-    return best(one, "_first").unionByName(best(two, "_second")).drop("_first", "_second")
+    key = F.when(first != "", F.concat(F.lit("1"), first)).when(second != "", F.concat(F.lit("2"), second))
+    tagged = computed(df, {"_two": key}).where("_two is not null")
+    return keep_best(tagged, [F.col("_two")], score, seq).drop("_two")
 
 
 def keep_position(df: DataFrame, key: Column, score: Column, seq: Column) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..operators import classify, dedupe, joins, rank
+from ..session import computed
 
 
 @dataclass
@@ -34,26 +35,34 @@ class LeadRules:
 def prefilter(hits: DataFrame, r: LeadRules, per_domain: int = 15, seq: str = "seq") -> DataFrame:
     """URL hits worth fetching: web addresses, no junk, foreign or blocked ones, one of each normal form, the best paths of each domain."""
     u = F.col("url")
-    kept = hits.where(urls.is_web_url(u) & ~urls.is_junk(u) & ~urls.is_foreign(u) & ~F.coalesce(urls.host_in(urls.domain_key(u), r.blocked), F.lit(False)))
-    once = dedupe.keep_first(kept, [urls.normalize_web(u)], [F.col(seq)])
-    return rank.top_k(once, [urls.domain_key(u)], [urls.path_priority(u), F.col(seq)], per_domain, "domain_rank")
+    named = computed(hits.where(urls.is_web_url(u)), {"_web": urls.normalize_web(u), "_domain": urls.domain_key(u), "_path": urls.path_priority(u)})
+    kept = named.where(~urls.is_junk(u) & ~urls.is_foreign(u) & ~F.coalesce(urls.host_in(F.col("_domain"), r.blocked), F.lit(False)))
+    once = dedupe.keep_first(kept, [F.col("_web")], [F.col(seq)])
+    return rank.top_k(once, [F.col("_domain")], [F.col("_path"), F.col(seq)], per_domain, "domain_rank").drop("_web", "_domain", "_path")
 
 
 def normalise(leads: DataFrame, r: LeadRules) -> DataFrame:
     """Leads of any header spelling in the lasting columns ``seq, url, url_strict, domain, name, name_key, city, score, label``."""
     p = lambda c: text.pick(leads, r.columns[c])
     seq = F.col("seq") if "seq" in leads.columns else F.monotonically_increasing_id().alias("seq")
-    out = leads.select(seq, p("url").alias("url"), text.sanitize(p("name"), 60).alias("name"), text.sanitize(p("city")).alias("city"), text.score_0_100(p("score")).alias("score"), p("label").alias("label"))
-    return out.withColumns({"url_strict": urls.normalize_strict(F.col("url")), "domain": urls.domain_key(F.col("url")), "name_key": text.store_name_key(F.col("name"))})
+    raw = computed(leads.select(seq, *leads.drop("seq").columns), {f"_{c}": p(c) for c in r.columns}).select("seq", *[f"_{c}" for c in r.columns])
+    out = raw.select("seq", F.col("_url").alias("url"), text.sanitize(F.col("_name"), 60).alias("name"), text.sanitize(F.col("_city")).alias("city"), text.score_0_100(F.col("_score")).alias("score"), F.col("_label").alias("label"))
+    return computed(out, {"url_strict": urls.normalize_strict(F.col("url")), "domain": urls.domain_key(F.col("url")), "name_key": text.store_name_key(F.col("name"))})
+
+
+def rules_score(low: Column, r: LeadRules) -> Column:
+    """Score with the capped boosts of a text, within 0..100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.col("_score") + rules.points(low, r.boosts, r.boost_cap))).cast("int")
 
 
 def evaluate(leads: DataFrame, r: LeadRules) -> DataFrame:
     """Adds ``filter_reason``, boosted ``score`` and ``grade``; kept rows have the reason ''."""
-    low = F.lower(F.concat_ws(" ", "url", "name"))
+    leads = computed(leads, {"_low": F.lower(F.concat_ws(" ", "url", "name"))})
+    low = F.col("_low")
     word = rules.first_match(low, r.keywords)
     reason = rules.first_reason([(urls.host_in(F.col("domain"), r.blocked), F.concat(F.lit("domain:"), F.col("domain"))), (word.isNotNull(), F.concat(F.lit("keyword:"), word))])
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") + rules.points(low, r.boosts, r.boost_cap))).cast("int")
-    return leads.withColumn("filter_reason", reason).withColumn("score", score).withColumn("grade", classify.grade(F.col("score"), *r.grades))
+    done = computed(leads.withColumnRenamed("score", "_score"), {"filter_reason": reason, "score": rules_score(low, r)}).drop("_low", "_score")
+    return done.withColumn("grade", classify.grade(F.col("score"), *r.grades))
 
 
 def lead_list(leads: DataFrame, r: LeadRules) -> DataFrame:

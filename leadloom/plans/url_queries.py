@@ -102,8 +102,7 @@ SELECT n, CASE WHEN error IS NULL THEN 'https://' || host || CASE WHEN port <> '
 def origin_check(spark: SparkSession, d: str) -> DataFrame:
     literal = spark.createDataFrame(list(enumerate(ORIGINS)), "n bigint, url string")
     rows = literal.unionByName(table(spark, d, "leads").select((F.col("lead_id") + 100).alias("n"), "url"))
-    made, error = urls.origin(F.col("url"))
-    return rows.select("n", made.alias("origin"), error.alias("error"))
+    return rows.select("n", urls.origin(F.col("url")).alias("o")).select("n", "o.*")
 
 
 P = "lower(" + PATH.format(u="url") + ")"

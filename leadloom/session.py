@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` by a reliable checkpoint, which survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once for each row.
+
+    Filters and projections above an ordinary projection are merged into it, which repeats
+    costly expressions for each use; those of a generator are not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -27,7 +27,7 @@ def test_domains(spark):
     assert one(spark, urls.suffixes, "a.b.c") == ["a.b.c", "b.c", "c"]
     assert one(spark, urls.same_site, "blog.a.example", "a.example") and not one(spark, urls.same_site, "ba.example", "a.example")
     assert one(spark, urls.is_web_url, "http://localhost/") is False and one(spark, urls.is_web_url, None) is False
-    assert one(spark, lambda u: urls.origin(u)[0], "https://My-Shop.Example:8443/p") == "https://my-shop.example:8443"
+    assert one(spark, lambda u: urls.origin(u)["origin"], "https://My-Shop.Example:8443/p") == "https://my-shop.example:8443"
     assert [one(spark, urls.path_priority, u) for u in ("https://a.example", "https://a.example/menu")] == [0, 1]
 
 
