@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.urls import let
 from ..session import cut
 
 #: Words for yes and no.
@@ -30,34 +31,43 @@ KEY = "lead_id"
 
 def kind(value: Column) -> Column:
     """JSON type of a variant: integer, decimal, string, boolean, array, object; null for null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "VOID", None).when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "BIGINT", "integer")
+    return let(F.schema_of_variant(value), lambda name: (
+        F.when(name == "STRING", "string").when(name == "BIGINT", "integer").when(name == "VOID", None).when(name == "BOOLEAN", "boolean")
         .when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object")
         # whole numbers are BIGINT up to 18 digits; a shorter DECIMAL(n,0) was written with a decimal point
         .when(name.rlike(r"^DECIMAL\((19|[2-9]\d),0\)"), "integer").otherwise("decimal")
-    )
+    ))
+
+
+DAY = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?[T ]?\s*(\d{1,2})[:時](\d{1,2})[:分](\d{1,2})(?:\.\d+)?秒?(?:Z|\+00:?00)?$"
+NUMBER = r"^[+-]?\d+(?:\.\d+)?(?:点|%|件|位)?$"
+PHONE = r"^\+?[0-9(][0-9()\-‐–－ ]{6,}[0-9]$"
 
 
 def canonical(text: Column, of: Column) -> Column:
     """One text for equal values of different types; ``text`` is the value as text (arrays as JSON), ``of`` its type."""
-    plain = F.translate(text, "０１２３４５６７８９．－＋，", "0123456789.-+,")
-    plain = F.regexp_replace(plain, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
-    listed = F.regexp_replace(F.array_join(F.from_json(plain, "array<string>"), "|"), r"(?U)\s+", " ")
-    split = F.regexp_replace(plain, r"(?U)\s*[,;|、；，]\s*", "|")
-    day = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?[T ]?\s*(\d{1,2})[:時](\d{1,2})[:分](\d{1,2})(?:\.\d+)?秒?(?:Z|\+00:?00)?$"
-    part = lambda n: F.regexp_extract(plain, day, n).cast("int")
-    moment = F.datediff(F.make_date(part(1), part(2), part(3)), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + part(4) * 3600 + part(5) * 60 + part(6)
-    digits = F.regexp_replace(F.regexp_replace(plain, r"[^0-9]", ""), r"^0+(?=\d)", "")
-    number = r"^[+-]?\d+(?:\.\d+)?(?:点|%|件|位)?$"
-    value = F.regexp_replace(F.regexp_replace(plain, r"^\+|(?:点|%|件|位)$", ""), r"^(-?)0+(?=\d)", "$1")
-    value = F.when(F.contains(value, F.lit(".")), F.regexp_replace(value, r"\.?0+$", "")).otherwise(value)
-    low = F.lower(plain)
-    return (
-        F.when(of == "array", listed).when(low.isin(YES), "1").when(low.isin(NO), "0").when(plain.rlike(day), moment.cast("string"))
-        .when(plain.rlike(number), F.when(value == "-0", "0").otherwise(value))
-        .when(plain.rlike(r"^\+?[0-9(][0-9()\-‐–－ ]{6,}[0-9]$"), digits).otherwise(split)
-    )
+    narrow = F.regexp_replace(F.translate(text, "０１２３４５６７８９．－＋，", "0123456789.-+,"), r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+    def second(plain: Column) -> Column:
+        part = lambda n: F.regexp_extract(plain, DAY, n).cast("int")
+        days = F.datediff(F.make_date(part(1), part(2), part(3)), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return (days * 86400 + part(4) * 3600 + part(5) * 60 + part(6)).cast("string")
+
+    def number(plain: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(plain, r"^\+|(?:点|%|件|位)$", ""), r"^(-?)0+(?=\d)", "$1")
+        short = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.?0+$", "")).otherwise(bare)
+        return let(short, lambda v: F.when(v == "-0", "0").otherwise(v))
+
+    def scalar(plain: Column) -> Column:
+        low = F.lower(plain)
+        return (
+            F.when(~plain.rlike(r"^[+\-(]?\d"), F.when(low.isin(YES), "1").when(low.isin(NO), "0").otherwise(F.regexp_replace(plain, r"(?U)\s*[,;|、；，]\s*", "|")))
+            .when(plain.rlike(NUMBER), number(plain)).when(plain.rlike(DAY), second(plain))
+            .when(plain.rlike(PHONE), F.regexp_replace(F.regexp_replace(plain, r"[^0-9]", ""), r"^0+(?=\d)", "")).otherwise(F.regexp_replace(plain, r"(?U)\s*[,;|、；，]\s*", "|"))
+        )
+
+    listed = F.regexp_replace(F.array_join(F.from_json(narrow, "array<string>"), "|"), r"(?U)\s+", " ")
+    return F.when(of == "array", listed).otherwise(let(narrow, scalar))
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -102,15 +112,14 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     pairs = values(gone, "before_id", "old").join(values(come, "file_id", "new"), ["in_file", "lead_id"])
     counted = pairs.groupBy("in_file", "old_field", "new_field", "old", "new").agg(F.count("*").alias("n"))
     group = ["in_file", "old_field", "new_field"]
-    of_pair = Window.partitionBy(*group)
-    held = counted.withColumn("n_new", F.sum("n").over(Window.partitionBy(*group, "new"))).withColumn("total", F.sum("n").over(of_pair))
-    n_old = held.groupBy(*group, "old").agg(F.sum("n").alias("n_old"), F.sum(F.when(F.col("old") == F.col("new"), F.col("n"))).alias("equal"), F.first("total").alias("total"))
-    n_new = held.select(*group, F.col("new").alias("old"), "n_new").distinct()
-    scored = n_old.join(n_new, [*group, "old"], "left").groupBy(*group).agg(
-        (F.coalesce(F.sum("equal"), F.lit(0)) / F.first("total")).alias("share"),
-        (F.sum(F.col("n_old") * F.coalesce("n_new", F.lit(0))) / F.first("total") / F.first("total")).alias("chance"),
-        F.first("total").alias("total"),
-    )
+    # per value its number on either side: sum(a * b) / total^2 is how often chance alone would make the sides agree
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("old").alias("v"), n.alias("a"), none.alias("b"), F.when(F.col("old") == F.col("new"), n).otherwise(none).alias("equal")),
+        F.struct(F.col("new").alias("v"), none.alias("a"), n.alias("b"), none.alias("equal")),
+    )
+    each = counted.select(*group, F.inline(sides)).groupBy(*group, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("equal").alias("equal"))
+    scored = each.groupBy(*group).agg((F.sum("equal") / F.sum("a")).alias("share"), (F.sum(F.col("a") * F.col("b")) / F.sum("a") / F.sum("a")).alias("chance"), F.sum("a").alias("total"))
     scored = scored.withColumn("score", F.when(F.col("chance") >= 1, F.lit(0.5)).otherwise((F.col("share") - F.col("chance")) / (1 - F.col("chance"))))
     good = scored.where((F.col("share") >= least) & ((F.col("score") >= beyond_chance) | (F.col("chance") >= 1)))
     best = lambda by, other: F.row_number().over(Window.partitionBy("in_file", by).orderBy(F.desc("score"), F.desc("total"), other))
