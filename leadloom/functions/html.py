@@ -48,7 +48,7 @@ def phone_link(html: Column) -> Column:
 
 def first_listed(text: Column, names: Sequence[str]) -> Column:
     """First of the listed names, in the list's order, that the text holds; null if none."""
-    return F.element_at(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n)), 1) if names else F.lit(None).cast("string")
+    return F.try_element_at(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n)), F.lit(1)) if names else F.lit(None).cast("string")
 
 
 def signals(html: Column, words: dict[str, Sequence[str]], thin: int = 400) -> DataFrame | list[Column]:

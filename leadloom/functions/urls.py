@@ -173,7 +173,7 @@ def domain_display_name(domain: Column) -> Column:
     parts = F.filter(F.split(clean_domain(domain), r"\."), lambda x: x != "")
     n = F.size(parts)
     # fixed values: second levels of .jp
-    deep = (n >= 3) & (F.element_at(parts, -1) == "jp") & F.try_element_at(parts, F.lit(-2)).isin("co", "or", "ne", "ac", "go", "gr", "ed", "lg", "ad")
+    deep = (n >= 3) & (F.try_element_at(parts, F.lit(-1)) == "jp") & F.try_element_at(parts, F.lit(-2)).isin("co", "or", "ne", "ac", "go", "gr", "ed", "lg", "ad")
     label = F.when(deep, F.try_element_at(parts, F.lit(-3))).when(n >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(F.try_element_at(parts, F.lit(1)))
     words = F.filter(F.split(F.regexp_replace(label, r"[^a-zA-Z0-9]+", "-"), "-"), lambda x: x != "")
     return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " "), F.lit(""))

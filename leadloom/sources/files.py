@@ -100,7 +100,7 @@ def urls_of(df: DataFrame, names: Sequence[str] = ("URL", "url", "website", "fin
     """Web addresses of a table whose header is unknown: the named columns, else the first cell of a row that is one."""
     picked = pick(df, names)
     cells = F.filter(F.array(*[strip(F.col(f"`{c}`").cast("string")) for c in df.columns]), is_web_url)
-    return df.select(F.coalesce(F.when(is_web_url(picked), picked), F.element_at(cells, 1)).alias("url")).where("url is not null")
+    return df.select(F.coalesce(F.when(is_web_url(picked), picked), F.try_element_at(cells, F.lit(1))).alias("url")).where("url is not null")
 
 
 def load_config(path: str) -> dict:

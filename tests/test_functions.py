@@ -69,3 +69,7 @@ def test_names(spark):
     assert best("【口コミ】Raça Lehesi Atelier | 飯都町の整体院").name == "Raça Lehesi Atelier"
     assert best("トップページ", "healing-house.example").name == "Healing House" and best("トップページ").source == "domain"
     assert best(None).confidence == "low"
+
+
+def test_nothing_found_is_null(spark):
+    assert one(spark, lambda c: html.first_listed(c, ["q"]), "page") is None and one(spark, urls.domain_display_name, "") == "" and one(spark, urls.domain_display_name, "x") == ""
