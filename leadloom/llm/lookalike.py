@@ -32,12 +32,12 @@ LETTERS = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχγκ", "ABEZHIKMNOPTYXaivopuxyk"),  # Greek
     ("АВЕЅІЈКМНОРСТУХԌаеіјорсухѕһԁԛԝ", "ABESIJKMHOPCTYXGaeijopcyxshdqw"),  # Cyrillic
     ("ԱՕՍօոսցհ", "UOUonugh"),  # Armenian
-    ("ıɑɡⅼ∣ꓲꓳ", "iagl|IO"),  # other letters
+    ("ıɑɡⅼ∣ꓲꓳ〜∼", "iagl|IO~~"),  # other letters and signs
     ("口卜夕一工八力二へべぺりㇸ巛⼮", "ロトターエハカニヘベペリヘ川川"),  # ideographs and hiragana like katakana
     ("⻄⻘⻑⻁⻆⻝⻤⻩⻫⻯⻨⻲⺠⺟⺣⻌⻏⻖⻭⻰⻳", "西青長虎角食鬼黄斉竜麦亀民母火辶阝阝歯龍亀"),  # radicals without decomposition
 ]
 DASHES = "‐‑‒–—―−⁃﹘﹣－─━⸺⸻˗"
-DOTS = "·‧•∙⋅・･᛫⸱ꞏ●"
+DOTS = "·‧•∙⋅・･᛫⸱ꞏ"
 #: Invisible characters beside the format characters (Cf), variation selectors and controls.
 HIDDEN = "͏ᅟᅠ឴឵⠀ㅤﾠ᠋᠌᠍᠎᠏"
 
