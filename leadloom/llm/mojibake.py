@@ -68,6 +68,9 @@ def to_text(data: bytes, encoding: str) -> str | None:
         return None
 
 
+char_bytes = functools.lru_cache(maxsize=50_000)(to_bytes)
+
+
 def is_kana(ch: str) -> bool:
     return "ぁ" <= ch <= "ゖ" or "ァ" <= ch <= "ー"
 
@@ -169,7 +172,7 @@ def respell(text: str, at: int, spans: list[tuple[int, int]]) -> tuple[str, int]
     out, done, i, n = [], 0, 0, len(text)
     while i < n:
         data, offsets, j = bytearray(), [0], i
-        while j < n and (b := to_bytes(text[j], wrong)) is not None:
+        while j < n and (b := char_bytes(text[j], wrong)) is not None:
             data += b
             offsets.append(len(data))
             j += 1
@@ -198,6 +201,27 @@ def respell(text: str, at: int, spans: list[tuple[int, int]]) -> tuple[str, int]
     return "".join(out), done
 
 
+def supported(text: str, at: int, a: int, b: int) -> bool:
+    """Whether a run of sequences that sound text may hold by chance, from ``a`` to ``b``, is garbled after all."""
+    true, wrong = PAIRS[at]
+    run = text[a:b]
+    if true == "utf-8" or true == "euc_jp" and to_text(to_bytes(run, wrong) or b"", true) in SMALL:
+        near = text[max(0, a - 1) : a] + text[b : b + 1]
+        return bool(re.search("[A-Za-z]", near)) and not re.search("[ｦ-ﾟ]", near)
+    if b - a < 4:
+        return False
+    if wrong == "cp932" and true == "euc_jp" and HALF.fullmatch(run):
+        return True
+    kana = sum(map(is_kana, respell(text, at, [(a, b)])[0])) - sum(map(is_kana, text))
+    if kana >= 2 or kana == 1 and b - a == len(text):
+        return True
+    if wrong in WIDE or wrong == "cp1251" or re.search("[A-Za-z ]{2}", run):
+        return False
+    if kana == 1 and (true == "euc_jp" or b - a >= 6) or b - a >= 8:
+        return True
+    return bool(re.search("[\x80-\x9f]", run) or LEADS.search(run) or true == "euc_jp" and HIGH.fullmatch(run))
+
+
 def spans_of(text: str) -> dict[int, list[tuple[int, int]]]:
     """For each pair with sufficient evidence the spans where its sequences match."""
     found: dict[int, list[tuple[int, int, int]]] = {}
@@ -215,21 +239,7 @@ def spans_of(text: str) -> dict[int, list[tuple[int, int]]]:
                     runs[-1][1] = max(b, runs[-1][1])
                 else:
                     runs.append([a, b])
-            for a, b in runs:
-                new = respell(text, at, [(a, b)])[0]
-                kana = sum(map(is_kana, new)) - sum(map(is_kana, text))
-                if true == "utf-8" or true == "euc_jp" and to_text(to_bytes(text[a:b], wrong) or b"", true) in SMALL:
-                    near = text[max(0, a - 1) : a] + text[b : b + 1]
-                    if re.search("[A-Za-z]", near) and not re.search("[ｦ-ﾟ]", near):
-                        spans.append((a, b))
-                elif wrong in WIDE:
-                    if b - a >= 4 and (kana >= 2 or kana and a == 0 and b == len(text)) or wrong == "cp932" and true == "euc_jp" and HALF.fullmatch(text[a:b]):
-                        spans.append((a, b))
-                elif wrong == "cp1251" or re.search("[A-Za-z ]{2}", text[a:b]):
-                    if b - a >= 4 and kana >= 2:
-                        spans.append((a, b))
-                elif b - a >= 4 and (kana >= 2 or kana and (true == "euc_jp" or b - a >= 6) or re.search("[\x80-\x9f]", text[a:b]) or b - a >= 8 or LEADS.search(text[a:b]) or true == "euc_jp" and HIGH.fullmatch(text[a:b])):
-                    spans.append((a, b))
+            spans = [(a, b) for a, b in runs if supported(text, at, a, b)]
         if spans:
             out[at] = spans
     return out
