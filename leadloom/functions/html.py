@@ -51,13 +51,45 @@ def first_listed(text: Column, names: Sequence[str]) -> Column:
     return F.try_element_at(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(text, n)), F.lit(1)) if names else F.lit(None).cast("string")
 
 
-def signals(html: Column, words: dict[str, Sequence[str]], thin: int = 400) -> DataFrame | list[Column]:
+def signals(html: Column, words: dict[str, Sequence[str]], thin: int = 400) -> list[Column]:
     """Flags of a page: one for each list of words, its text length, and whether it is thin."""
     body = F.lower(bare_text(html))
     flags = [contains_any(body, w).alias(n) for n, w in words.items()]
     return [*flags, F.length(body).alias("text_length"), (F.length(body) < thin).alias("thin")]
 
 
+def name_chain(html: Column, domain_name: Column) -> Column:
+    """Name of a page's shop: first heading, site name, first part of the title, words of the domain; the first that is filled and no longer than 60 letters."""
+    part = F.trim(F.element_at(F.split(element(html, "title"), r"[|｜]"), 1))
+    usable = [F.when(F.length(x).between(1, 60), x) for x in (element(html, "h1"), meta(html, "og:site_name"), part, domain_name)]
+    return F.coalesce(*usable, F.lit("Unknown"))
+
+
+def near_word(text: Column, words: Sequence[str], pattern: str, within: int = 100) -> Column:
+    """First match of a pattern at most ``within`` letters after one of the words; '' if there is none."""
+    start = "(?:" + "|".join(words) + ")"
+    return F.regexp_extract(text, rf"(?s){start}.{{0,{within}}}?({pattern})", 1)
+
+
+def hours(text: Column) -> Column:
+    """Opening hours after their label."""
+    return near_word(text, ["営業時間", "受付時間", "hours"], r"\d{1,2}[:：時]\d{0,2}分?\s*[-~〜–]\s*\d{1,2}[:：時]\d{0,2}")
+
+
+def postal_code(text: Column) -> Column:
+    """First postal code as seven digits with a hyphen; '' if there is none."""
+    code = F.regexp_extract(F.translate(text, "０１２３４５６７８９－‐−", "0123456789---"), r"(?:〒\s*|(?<![0-9\-]))(\d{3}-?\d{4})(?![0-9\-])", 1)
+    return F.when(code != "", F.concat_ws("-", F.substring(code, 1, 3), F.substring(code, -4, 4))).otherwise("")
+
+
+def listing_signals(text: Column, title: Column, words: Sequence[str], often: int = 5, kinds: int = 3) -> Column:
+    """Whether a page lists many businesses: a count of picks in its title, or ``kinds`` of the words each more than ``often`` times."""
+    many = F.lit(0)
+    for w in words:
+        many = many + F.when((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w) > often, 1).otherwise(0)
+    return F.coalesce(title.rlike(r"\d{1,3}選"), F.lit(False)) | F.coalesce(many >= kinds, F.lit(False))
+
+
 class _Reader(HTMLParser):
     """Collects visible text, links and JSON-LD of one page."""
 

@@ -145,6 +145,24 @@ def page_fields(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+BODY = ONE.format(x="coalesce(title, '') || ' ' || coalesce(display_name, '') || ' ' || coalesce(address, '') || ' x t'")
+
+
+@query(f"""SELECT page_id, contains(lower({BODY}), 'salon') OR contains(lower({BODY}), 'サロン') AS salon, contains(lower({BODY}), '市') AS place, CAST(len(lower({BODY})) AS INTEGER) AS text_length, len(lower({BODY})) < 60 AS thin FROM city_pages""")
+def page_signals(spark: SparkSession, d: str) -> DataFrame:
+    return as_pages(table(spark, d, "city_pages")).select("page_id", *html.signals(F.col("html"), {"salon": ["salon", "サロン"], "place": ["市"]}, thin=60))
+
+
+@query(f"""
+SELECT page_id, coalesce(CASE WHEN len({ONE.format(x="display_name")}) BETWEEN 1 AND 60 THEN {ONE.format(x="display_name")} END, CASE WHEN len(trim(split_part(regexp_replace({ONE.format(x="coalesce(title, '')")}, '｜', '|', 'g'), '|', 1))) BETWEEN 1 AND 60 THEN trim(split_part(regexp_replace({ONE.format(x="coalesce(title, '')")}, '｜', '|', 'g'), '|', 1)) END, 'Unknown') AS name,
+  coalesce(CASE WHEN c <> '' THEN c[1:3] || '-' || c[-4:] ELSE '' END, '') AS postal
+FROM (SELECT *, regexp_extract(' ' || translate(coalesce(address, ''), '０１２３４５６７８９－‐−', '0123456789---') || ' ', '(?:〒\s*|[^0-9-])([0-9]{{3}}-?[0-9]{{4}})[^0-9-]', 1) AS c FROM city_pages)
+""")
+def page_names(spark: SparkSession, d: str) -> DataFrame:
+    pages = as_pages(table(spark, d, "city_pages"))
+    return pages.select("page_id", html.name_chain(F.col("html"), F.lit("")).alias("name"), html.postal_code(F.coalesce("address", F.lit(""))).alias("postal"))
+
+
 @query(f"""
 SELECT page_id, {ONE.format(x="coalesce(title, '') || ' ' || coalesce(display_name, '') || ' ' || coalesce(address, '') || ' x t'")} AS text,
   CASE WHEN url IS NULL THEN CAST([] AS VARCHAR[]) ELSE [regexp_extract(url, '^(https?://[^/]+)', 1) || '/contact'] END AS links FROM city_pages

@@ -69,13 +69,13 @@ def merge_nonblank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0), g AS (SELECT min(c_custkey) AS k, c_mktsegment FROM f GROUP BY c_mktsegment),
+WITH f AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0), g AS (SELECT min(c_custkey) AS k, c_mktsegment FROM f GROUP BY c_mktsegment),
 h AS (SELECT f.* FROM f JOIN g ON f.c_custkey = g.k)
 SELECT o.o_orderkey, coalesce(f.c_name, h.c_name) AS c_name, coalesce(f.c_custkey, h.c_custkey) AS c_custkey FROM (SELECT o_orderkey, o_custkey, 'BUILDING' AS seg FROM orders) o
 LEFT JOIN f ON o.o_custkey = f.c_custkey LEFT JOIN h ON o.seg = h.c_mktsegment
 """)
 def fallback_join(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_mktsegment")
+    known = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
     firsts = known.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("c_custkey")).join(known.drop("c_mktsegment"), "c_custkey").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"))
     side = known.select("c_custkey", "c_name", F.lit(None).cast("string").alias("segment")).unionByName(firsts.select(F.lit(None).cast("bigint").alias("key"), "c_custkey", "c_name", "segment").drop("key"))
     # one partner for each value of each key: the fallback rows carry no customer key of their own
@@ -114,10 +114,10 @@ def either_way_suffix(spark: SparkSession, d: str) -> DataFrame:
     return joins.either_way_suffix(left, right, "a", "da", "b", "db")
 
 
-@query(r"""SELECT page_id FROM city_pages WHERE url IS NULL OR regexp_replace(lower(url), '/+$', '') = '' OR regexp_replace(lower(url), '/+$', '') NOT IN (SELECT regexp_replace(lower(website), '/+$', '') FROM site_names WHERE website IS NOT NULL AND name_id % 2 = 0)""")
+@query(r"""SELECT page_id FROM city_pages WHERE url IS NULL OR regexp_replace(lower(url), '/+$', '') = '' OR regexp_replace(lower(url), '/+$', '') NOT IN (SELECT regexp_replace(lower(website), '/+$', '') FROM site_names WHERE website IS NOT NULL AND name_confidence = 'high')""")
 def unseen_pages(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: F.regexp_replace(F.lower(c), r"/+\z", "")
-    old = table(spark, d, "site_names").where("name_id % 2 = 0")
+    old = table(spark, d, "site_names").where("name_confidence = 'high'")
     return joins.unseen(table(spark, d, "city_pages"), key(F.col("url")), old, key(F.col("website"))).select("page_id")
 
 
@@ -178,12 +178,13 @@ def label_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT max(o_orderkey) AS top FROM orders WHERE o_orderkey % 2 = 0)
-SELECT o_orderkey, lpad(CAST(top + row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), CAST(greatest(8, len(CAST(top + row_number() OVER (ORDER BY o_orderkey) AS VARCHAR))) AS INTEGER), '0') AS new_id FROM orders, m WHERE o_orderkey % 2 = 1
+WITH m AS (SELECT max(o_orderkey) AS top FROM orders WHERE o_orderstatus = 'F')
+SELECT o_orderkey, lpad(CAST(top + row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), CAST(greatest(8, len(CAST(top + row_number() OVER (ORDER BY o_orderkey) AS VARCHAR))) AS INTEGER), '0') AS new_id FROM orders, m WHERE o_orderstatus <> 'F'
 """)
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return rank.next_ids(orders.where("o_orderkey % 2 = 1"), orders.where("o_orderkey % 2 = 0"), "o_orderkey", [F.col("o_orderkey")], 3000, 8)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    new = orders.where("o_orderstatus <> 'F'").select("o_orderkey")
+    return rank.next_ids(new, orders.where("o_orderstatus = 'F'"), "o_orderkey", [F.col("o_orderkey")], 3000, 8)
 
 
 @query("""

@@ -73,3 +73,10 @@ def test_names(spark):
 
 def test_nothing_found_is_null(spark):
     assert one(spark, lambda c: html.first_listed(c, ["q"]), "page") is None and one(spark, urls.domain_display_name, "") == "" and one(spark, urls.domain_display_name, "x") == ""
+
+
+def test_page_texts(spark):
+    assert one(spark, html.hours, "営業時間：平日 10:00〜19:30 まで") == "10:00〜19:30" and one(spark, html.hours, "10:00-12:00") == ""
+    assert one(spark, html.postal_code, "〒００２－０６４３ x") == "002-0643" and one(spark, html.postal_code, "電話 03-0001-2345") == "" and one(spark, html.postal_code, "0051225 y") == "005-1225"
+    assert one(spark, lambda t, b: html.listing_signals(b, t, ["ab", "cd", "ef"], 2, 2), "x", "ab " * 3 + "cd " * 3) and one(spark, lambda t, b: html.listing_signals(b, t, ["ab"]), "おすすめ12選", None)
+    assert one(spark, lambda c: html.name_chain(c, F.lit("Dom")), "<title>T | x</title>") == "T" and one(spark, lambda c: html.name_chain(c, F.lit("")), "") == "Unknown"
