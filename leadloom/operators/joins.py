@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import suffixes
+from .rank import top_k
 
 
 def fallback_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], name: str) -> DataFrame:
@@ -61,5 +62,6 @@ def unseen(df: DataFrame, key: Column, existing: DataFrame, existing_key: Column
 def first_sources(df: DataFrame, key: str, value: str, seq: str, most: int = 3) -> DataFrame:
     """First value and the first ``most`` different values of each key, in order of first appearance."""
     firsts = df.groupBy(key, value).agg(F.min(seq).alias("_at"))
-    ranked = firsts.groupBy(key).agg(F.min_by(value, "_at").alias("first_value"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]), 1, most).alias("values"))
-    return ranked
+    kept = top_k(firsts, [F.col(key)], [F.col("_at"), F.col(value)], most, "_rank")  # no more than these are gathered
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_rank", value))), lambda x: x[value])
+    return kept.groupBy(key).agg(F.min_by(value, "_rank").alias("first_value"), ordered.alias("values"))
