@@ -16,6 +16,8 @@ of a lead the last line holds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +72,13 @@ def canonical(text: Column, of: Column) -> Column:
     return F.when(of == "array", listed).otherwise(let(narrow, scalar))
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """One row for each key of each payload: ``row_id, file_id, line_no, lead_id, field, kind, value``."""
+def entries(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each key of each payload: ``row_id, file_id, line_no, lead_id, key, kind, value`` and the columns to ``keep``."""
     spark = rows.sparkSession
-    parsed = rows.select("row_id", "file_id", "line_no", F.try_parse_json("payload").alias("v"))
+    parsed = rows.select("row_id", "file_id", "line_no", *keep, F.try_parse_json("payload").alias("v"))
     parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("lead_id", F.try_variant_get("v", f"$.{KEY}", "string"))
     out = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    return out.where(F.col("key") != KEY).select("row_id", "file_id", "line_no", "lead_id", F.col("key").alias("field"), kind(F.col("value")).alias("kind"), "value")
+    return out.where(F.col("key") != KEY).select("row_id", "file_id", "line_no", "lead_id", *keep, "key", kind(F.col("value")).alias("kind"), "value")
 
 
 def as_text(value: Column, of: Column) -> Column:
@@ -91,7 +93,7 @@ def file_order(files: DataFrame) -> DataFrame:
 
 def file_schemas(rows: DataFrame) -> DataFrame:
     """The tagged union of each file: ``file_id, field, kinds`` (sorted, empty if all values are null)."""
-    return entries(rows).groupBy("file_id", "field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return entries(rows).groupBy("file_id", F.col("key").alias("field")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.7, beyond_chance: float = 0.6) -> DataFrame:
@@ -101,15 +103,16 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     least ``least``, and of what chance leaves open at least ``beyond_chance``.
     """
     both = gone.select("file_id").distinct().join(come.select("file_id").distinct(), "file_id")
-    seen = entries(rows).where("kind is not null and lead_id is not null")
-    seen = seen.withColumn("text", canonical(as_text(F.col("value"), F.col("kind")), F.col("kind"))).select("file_id", "line_no", "lead_id", "field", "text")
-
-    def values(side: DataFrame, at: str, name: str) -> DataFrame:
-        wanted = side.join(both, "file_id", "left_semi").select(F.col("file_id").alias("in_file"), F.col(at).alias("from_file"), F.col("field").alias("f"))
-        got = seen.join(wanted, (seen["file_id"] == wanted["from_file"]) & (seen["field"] == wanted["f"]))
-        return got.groupBy("in_file", "lead_id", F.col("field").alias(f"{name}_field")).agg(F.max_by("text", "line_no").alias(name))
-
-    pairs = values(gone, "before_id", "old").join(values(come, "file_id", "new"), ["in_file", "lead_id"])
+    role = lambda side, at, n: side.join(both, "file_id", "left_semi").select(F.col(at).alias("from_file"), F.struct(F.col("file_id").alias("in_file"), F.lit(n).alias("role"), "field").alias("want"))
+    # what each file is asked for: a few fields; rows of other files are never parsed, other fields never canonicalised
+    asked = role(gone, "before_id", 0).unionAll(role(come, "file_id", 1)).groupBy("from_file").agg(F.collect_list("want").alias("wants"))
+    needed = rows.select("row_id", "file_id", "line_no", "payload").join(asked, F.col("file_id") == F.col("from_file"))
+    seen = entries(needed, ["wants"]).where("kind is not null and lead_id is not null")
+    seen = seen.select("line_no", "lead_id", "kind", "value", F.inline(F.filter("wants", lambda w: w["field"] == F.col("key"))))
+    text = canonical(as_text(F.col("value"), F.col("kind")), F.col("kind"))
+    last = seen.groupBy("in_file", "role", "lead_id", "field").agg(F.max_by(text, F.col("line_no")).alias("text"))
+    side = lambda n, name: last.where(F.col("role") == n).select("in_file", "lead_id", F.col("field").alias(f"{name}_field"), F.col("text").alias(name))
+    pairs = side(0, "old").join(side(1, "new"), ["in_file", "lead_id"])
     counted = pairs.groupBy("in_file", "old_field", "new_field", "old", "new").agg(F.count("*").alias("n"))
     group = ["in_file", "old_field", "new_field"]
     # per value its number on either side: sum(a * b) / total^2 is how often chance alone would make the sides agree
@@ -179,7 +182,7 @@ def lineage(files: DataFrame, rows: DataFrame) -> DataFrame:
 def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
     """The one consistent lead table: each value under the lasting name of its field, in its typed branch and in canonical form."""
     names = lineage(files, rows)
-    seen = entries(rows).where("kind is not null").join(names, ["file_id", "field"])
+    seen = entries(rows).where("kind is not null").withColumnRenamed("key", "field").join(names, ["file_id", "field"])
     text = as_text(F.col("value"), F.col("kind"))
     get = lambda of, to: F.when(F.col("kind") == of, F.try_variant_get("value", "$", to))
     return seen.select(
