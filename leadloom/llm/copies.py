@@ -25,7 +25,7 @@ ENTRY = r"[;；,，、/／|｜\n]"
 
 def leaf(c: Column) -> Column:
     """Text without white space, control characters and punctuation, in lower case; null stays null."""
-    return F.lower(F.upper(F.regexp_replace(c, r"(?U)[\s\p{P}\p{Cc}\p{Cf}]+", "")))
+    return F.lower(F.regexp_replace(c, r"(?U)[\s\p{P}\p{Cc}\p{Cf}]+", ""))
 
 
 def digest(*parts: Column) -> Column:
