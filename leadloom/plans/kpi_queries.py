@@ -156,7 +156,7 @@ def page_signals(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 SELECT page_id, coalesce(CASE WHEN len({ONE.format(x="display_name")}) BETWEEN 1 AND 60 THEN {ONE.format(x="display_name")} END, CASE WHEN len(trim(split_part(regexp_replace({ONE.format(x="coalesce(title, '')")}, '｜', '|', 'g'), '|', 1))) BETWEEN 1 AND 60 THEN trim(split_part(regexp_replace({ONE.format(x="coalesce(title, '')")}, '｜', '|', 'g'), '|', 1)) END, 'Unknown') AS name,
   coalesce(CASE WHEN c <> '' THEN c[1:3] || '-' || c[-4:] ELSE '' END, '') AS postal
-FROM (SELECT *, regexp_extract(' ' || translate(coalesce(address, ''), '０１２３４５６７８９－‐−', '0123456789---') || ' ', '(?:〒\s*|[^0-9-])([0-9]{{3}}-?[0-9]{{4}})[^0-9-]', 1) AS c FROM city_pages)
+FROM (SELECT *, regexp_extract(' ' || translate(coalesce(address, ''), '０１２３４５６７８９－‐−', '0123456789---') || ' ', '(?:〒\\s*|[^0-9-])([0-9]{{3}}-?[0-9]{{4}})[^0-9-]', 1) AS c FROM city_pages)
 """)
 def page_names(spark: SparkSession, d: str) -> DataFrame:
     pages = as_pages(table(spark, d, "city_pages"))
