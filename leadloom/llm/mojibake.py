@@ -5,7 +5,9 @@ that names are made of are computed in advance and put into one multi-pattern
 automaton (built once per worker; its size follows from the repertoire, not from the
 data). A text is scanned once. Where sequences of a pair match, the bytes behind the
 matched span are decoded anew, and only that span is replaced, so that correct text
-beside it stays. Doubly garbled text is unwound step by step.
+beside it stays. Doubly garbled text is unwound step by step. ISO-2022-JP read as ASCII
+has no such sequences: its chains are found by their shifts, with or without the escape
+byte, and closed or cut off at the end.
 
 Sequences that sound text may hold by chance need support: two neighbours, kana among
 the restored characters, or Latin letters around a lone letter. A replacement
@@ -157,6 +159,47 @@ BROKEN = re.compile("(?<=[A-Za-z])(?:｡[｢ｨﾃｦ]|¡[¢¨Ã¦])|(?:｡[｢
 LONE = re.compile("(?<=[A-Za-z])(?:[Ѐ-ӿ](?![Ѐ-ӿ])|(?P<a>[⺀-鿿ｦ-ﾟ]{1,4})(?![⺀-鿿ｦ-ﾟ]))|(?<![Ѐ-ӿA-Za-z⺀-鿿ｦ-ﾟ])(?:[Ѐ-ӿ]|(?P<b>[⺀-鿿ｦ-ﾟ]{1,4}))(?=[a-z]{2})")
 
 
+#: ISO-2022-JP read as ASCII: a shift, pairs of bytes, and the shift back, or what is left of it where the text is cut off.
+SHIFTED = re.compile(r"(?P<esc>\x1b?)\$[B@](?P<body>(?:[!-~]{2})+?)(?:(?P<back>\x1b?\([BJ])|(?P<cut>[!-~]|\x1b\(?)?(?![!-~]))")
+SHIFTS = "iso2022_jp/ascii"
+
+
+@functools.lru_cache(maxsize=10_000)
+def jis_char(pair: str) -> str | None:
+    """The character of two bytes of ISO-2022-JP, also of the rows that vendors added (㈱, ①)."""
+    a, b = pair.encode("ascii")
+    lead = (a - 0x21 >> 1) + (0x81 if a < 0x5F else 0xC1)
+    trail = b + (0x1F if b < 0x60 else 0x20) if a % 2 else b + 0x7E
+    return to_text(b"\x1b$B" + bytes([a, b]) + b"\x1b(B", "iso2022_jp") or to_text(bytes([lead, trail]), "cp932")
+
+
+def unshift(text: str) -> tuple[str, bool, str, bool]:
+    """``text`` with its ISO-2022-JP chains decoded, whether it has any, the characters restored, and whether all could be."""
+    if "$" not in text and "\x1b" not in text:
+        return text, False, "", True
+    out, made, done, at, found, whole = [], [], 0, 0, False, True
+    while m := SHIFTED.search(text, at):
+        body = m["body"]
+        chars = [jis_char(body[i : i + 2]) for i in range(0, len(body), 2)]
+        kana = sum(is_kana(c) for c in chars if c)
+        # sound text may hold an open chain without escape byte by chance
+        signs = sum(not c.isalnum() for c in body)
+        sure = m["esc"] or (m["back"] or len(chars) > 1) and kana or None not in chars and (m["back"] or len(chars) > 2 and signs > 1 and all(map(is_han, chars)))
+        if not sure:
+            at = m.start() + 2
+            continue
+        found, at = True, m.end()
+        if None in chars or m["cut"] not in (None, "(", "\x1b", "\x1b("):
+            whole = False
+            continue
+        out += [text[done : m.start()], *chars]
+        made += chars
+        done = at
+    new = "".join(out) + text[done:]
+    bare = re.sub(r"\x1b\([BJ]", "", new)
+    return bare, found or bare != new, "".join(made), whole
+
+
 def lone_letters(text: str) -> list[tuple[int, int]]:
     """Spans of lone letters at Latin words."""
 
@@ -247,9 +290,10 @@ def spans_of(text: str) -> dict[int, list[tuple[int, int]]]:
 
 def inspect(text: str | None) -> tuple[bool, str | None, str | None]:
     """Whether a text is garbled, the restored text (None if sound or beyond repair) and the encodings that were confused."""
-    if not text or text.isascii():
+    if not text:
         return False, None, None
-    garbled, how, now = LOST in text or bool(BROKEN.search(text)), [], text
+    now, shifts, proved, whole = unshift(text)
+    garbled, how = shifts or LOST in text or bool(BROKEN.search(text)), [SHIFTS] if shifts else []
     for _ in range(4):
         spans = {at: v for at, v in spans_of(now).items() if not (PAIRS[at][1] in WIDE and "/".join(PAIRS[at]) in how)}
         tried = [(respell(now, at, v), at) for at, v in spans.items()]
@@ -272,7 +316,7 @@ def inspect(text: str | None) -> tuple[bool, str | None, str | None]:
                     now = new
                     how.append("/".join(PAIRS[at]))
                     break
-    mended = garbled and how and SOUND.fullmatch(now) and not spans_of(now) and not lone_letters(now) and not REST.search(now)
+    mended = garbled and how and whole and all(c in proved or SOUND.fullmatch(c) for c in now) and not spans_of(now) and not lone_letters(now) and not REST.search(now)
     return garbled, now if mended else None, "; ".join(how) or None
 
 

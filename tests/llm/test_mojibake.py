@@ -52,3 +52,39 @@ def test_table(spark):
     got = sorted(tuple(r) for r in mojibake.garbled_fields(df, "name_id", ["a", "b"]).collect())
     assert got == [(1, "a", bad, TEXTS[0], "utf-8/sloppy_1252"), (2, "b", bad, TEXTS[0], "utf-8/sloppy_1252")]
     assert mojibake.garbled_fields(df.limit(0), "name_id", ["a", "b"]).count() == 0
+
+
+def shifts(text, escape=""):
+    return text.encode("iso2022_jp").decode("ascii").replace("\x1b", escape)
+
+
+@pytest.mark.parametrize("escape", ["", "\x1b"])
+@pytest.mark.parametrize("text", [*[t for t in TEXTS if "é" not in t], "ジガメガテ美容室 | 羽瀬市のサロン", "Nori Rorael｜ご予約", "花", "夢〜路"])
+def test_shifts_read_as_ascii(text, escape):
+    assert mojibake.inspect(shifts(text, escape)) == (True, text, "iso2022_jp/ascii")
+
+
+def test_shifts_beside_sound_and_other_garbled_text():
+    assert mojibake.inspect("ネイ$B%k(B $B8w@c$9$m$Y(B") == (True, "ネイル 光雪すろべ", "iso2022_jp/ascii")
+    assert mojibake.inspect("$B-j(B\x1b(J Hana")[:2] == (True, "㈱ Hana")
+    assert mojibake.inspect("$@%5%m%s(J " + garble("写真館", "utf-8", "sloppy_1252")) == (True, "サロン 写真館", "iso2022_jp/ascii; utf-8/sloppy_1252")
+
+
+def test_shifts_cut_off():
+    for end in ("", "(", "\x1b", "\x1b("):
+        assert mojibake.inspect("Riya $B%8%,%a" + end)[:2] == (True, "Riya ジガメ")
+    assert mojibake.inspect("$B%8%,%")[:2] == (True, None)
+    assert mojibake.inspect("$B%8%,%(B")[:2] == (True, None)
+    assert mojibake.inspect("$B9b2;;T")[:2] == (True, "高音市")
+
+
+@pytest.mark.parametrize("text", ["Pay $B", "$BIG SALE", "$BIGSALE", "$BASIC-PLAN!", "Salon (B1F)", "Nail $50(B)", "A$B.C(Beta)", "$@home", "f(x) $B(B", "$" * 1001, "$B" + "x" * 300_000])
+def test_sound_ascii(text):
+    assert mojibake.inspect(text) == (False, None, None)
+
+
+def test_shifts_in_single_fields(spark):
+    bad = shifts(TEXTS[0])
+    df = spark.createDataFrame([(1, bad, "Hair"), (2, "Nail", bad)], "name_id bigint, a string, b string")
+    got = sorted(tuple(r) for r in mojibake.garbled_fields(df, "name_id", ["a", "b"]).collect())
+    assert got == [(1, "a", bad, TEXTS[0], "iso2022_jp/ascii"), (2, "b", bad, TEXTS[0], "iso2022_jp/ascii")]
