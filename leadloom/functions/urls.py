@@ -218,6 +218,6 @@ def is_foreign(url: Column) -> Column:
 
 
 def lead_slug(value: Column, size: int = 56) -> Column:
-    """Identifier text: lf- and the words of a value, at most ``size`` letters."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(strip(value)), r"(?U)[^\w]+", "-"), "^-+|-+$", "")
+    """Identifier text: lf- and the words (letters, marks, numbers and _; format characters separate) of a value, at most ``size`` letters."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(strip(value)), r"[^\p{L}\p{M}\p{N}_]+", "-"), "^-+|-+$", "")
     return F.concat(F.lit("lf-"), F.regexp_replace(F.substring(s, 1, size), "-+$", ""))

@@ -268,8 +268,8 @@ def warning_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT lead_id, CASE WHEN trim(store_name) <> '' THEN left('lf-' || regexp_replace(regexp_replace(lower(trim(store_name)), '[^\p{L}\p{M}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 59) END AS slug FROM (SELECT lead_id, regexp_replace(store_name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS store_name FROM leads WHERE store_name IS NOT NULL AND NOT regexp_matches(store_name, '[\p{Cf}\x{180E}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{2100}-\x{2FFF}\x{1D400}-\x{1D7FF}]'))""")
 def lead_slugs(spark: SparkSession, d: str) -> DataFrame:
-    odd = r"[\p{Cf}\x{180E}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{2100}-\x{2FFF}\x{1D400}-\x{1D7FF}]"
-    leads = table(spark, d, "leads").where(F.col("store_name").isNotNull() & ~F.col("store_name").rlike(odd))
+    """Slugs of all named leads; the SQL covers only names without format characters, variation selectors, symbols and styled letters."""
+    leads = table(spark, d, "leads").where(F.col("store_name").isNotNull())
     return leads.select("lead_id", F.when(urls.strip(F.col("store_name")) != "", urls.lead_slug(F.col("store_name"))).alias("slug"))
 
 
