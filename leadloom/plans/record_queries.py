@@ -176,8 +176,9 @@ WITH w AS (SELECT name_id, len(regexp_split_to_array(trim(display_name), '\\s+')
 SELECT coalesce(c, 'none') AS confidence, CAST(least(words, 4) AS INTEGER) AS words, count(*) AS n FROM w GROUP BY 1, 2
 """)
 def name_shapes(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "site_names").where(F.col("display_name").isNotNull() & ~F.col("display_name").rlike(r"[\x{80}-\x{A0}\x{3000}]"))
-    words = F.least(F.size(F.split(F.trim("display_name"), r"\s+")), F.lit(4)).cast("int")
+    """Names by confidence and number of words between Unicode white space; the SQL covers only names without U+0080-U+00A0 and U+3000."""
+    t = table(spark, d, "site_names").where(F.col("display_name").isNotNull())
+    words = F.least(F.size(F.split(urls.strip(F.col("display_name")), r"(?U)\s+")), F.lit(4)).cast("int")
     return t.groupBy(F.coalesce("name_confidence", F.lit("none")).alias("confidence"), words.alias("words")).agg(F.count("*").alias("n"))
 
 

@@ -1,10 +1,11 @@
 """Queries over every row of their table, against brute force on small tables."""
 
 import unicodedata
+from collections import Counter
 
 from conftest import rows
 
-from leadloom.plans import relational_queries
+from leadloom.plans import record_queries, relational_queries
 
 
 def save(spark, folder, name, data, schema):
@@ -24,3 +25,11 @@ def test_lead_slugs(spark, tmp_path):
     d = save(spark, tmp_path, "leads", list(enumerate(NAMES)), "lead_id bigint, store_name string")
     want = [(i, slug(n)) for i, n in enumerate(NAMES) if n is not None]
     assert rows(relational_queries.lead_slugs(spark, d)) == sorted(want, key=repr)
+
+
+def test_name_shapes(spark, tmp_path):
+    shown = ["Nori　Salon", "\u00a0Nori\u00a0Salon Hana ", "ã\x83\x8d Nail", "a\x85b", "\u3000", "", "a b  c d e", "Nori\u2009Salon", "花", None]
+    data = [(i, n, c) for i, (n, c) in enumerate((n, c) for n in shown for c in ("high", None))]
+    d = save(spark, tmp_path, "site_names", data, "name_id bigint, display_name string, name_confidence string")
+    want = Counter((c or "none", min(max(len(n.split()), 1), 4)) for _, n, c in data if n is not None)
+    assert rows(record_queries.name_shapes(spark, d)) == sorted(((c, w, n) for (c, w), n in want.items()), key=repr)
