@@ -66,9 +66,9 @@ def evaluate(leads: DataFrame, r: LeadRules) -> DataFrame:
 
 
 def lead_list(leads: DataFrame, r: LeadRules) -> DataFrame:
-    """The whole plan: normalise, evaluate, drop filtered rows, keep the best of each address (else name and city), in presentation order by ``label_order, score``."""
+    """The whole plan: normalise, evaluate, drop filtered rows, keep the best of each address (else name and city, which may be missing), in presentation order by ``label_order, score``."""
     kept = evaluate(normalise(leads, r), r).where("filter_reason = ''")
-    second = F.when((F.col("name_key") != "") & (F.col("city") != ""), F.concat_ws("|", "name_key", "city")).otherwise("")
+    second = F.when(F.col("name") != "", F.concat_ws("|", F.col("name_key"), text.store_name_key(F.col("city")))).otherwise("")
     best = dedupe.keep_best_two_keys(kept, F.col("url_strict"), second, F.col("score"), F.col("seq"))
     return best.withColumn("label_order", rank.label_order(F.col("label")))
 

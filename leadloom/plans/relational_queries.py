@@ -23,8 +23,9 @@ b AS (SELECT lead_id, row_number() OVER (PARTITION BY k2 ORDER BY coalesce(lead_
 SELECT lead_id FROM a WHERE n = 1 UNION ALL SELECT lead_id FROM b WHERE n = 1
 """)
 def best_two_keys(spark: SparkSession, d: str) -> DataFrame:
-    filled = (F.coalesce("store_name", F.lit("")) != "") & (F.coalesce("city", F.lit("")) != "")
-    second = F.when(filled, F.concat(F.lower("store_name"), F.lit("|"), F.col("city"))).otherwise("")
+    """The best lead of each address, else of each name and city; the SQL leaves out names without a city."""
+    name, city = F.coalesce("store_name", F.lit("")), F.coalesce("city", F.lit(""))
+    second = F.when(name != "", F.concat(F.lower(name), F.lit("|"), F.lower(city))).otherwise("")
     leads = table(spark, d, "leads")
     return dedupe.keep_best_two_keys(leads, F.coalesce("url", F.lit("")), second, F.col("lead_score"), F.col("lead_id")).select("lead_id")
 
