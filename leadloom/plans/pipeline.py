@@ -46,7 +46,7 @@ def normalise(leads: DataFrame, r: LeadRules) -> DataFrame:
     p = lambda c: text.pick(leads, r.columns[c])
     seq = F.col("seq") if "seq" in leads.columns else F.monotonically_increasing_id().alias("seq")
     raw = computed(leads.select(seq, *leads.drop("seq").columns), {f"_{c}": p(c) for c in r.columns}).select("seq", *[f"_{c}" for c in r.columns])
-    out = raw.select("seq", F.col("_url").alias("url"), text.sanitize(F.col("_name"), 60).alias("name"), text.sanitize(F.col("_city")).alias("city"), text.score_0_100(F.col("_score")).alias("score"), F.col("_label").alias("label"))
+    out = raw.select("seq", F.col("_url").alias("url"), text.sanitize(F.col("_name")).alias("name"), text.sanitize(F.col("_city")).alias("city"), text.score_0_100(F.col("_score")).alias("score"), F.col("_label").alias("label"))
     return computed(out, {"url_strict": urls.normalize_strict(F.col("url")), "domain": urls.domain_key(F.col("url")), "name_key": text.store_name_key(F.col("name"))})
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 from conftest import rows
 
+from leadloom.functions.rules import Rule
 from leadloom.plans import pipeline, record_queries, relational_queries
 
 
@@ -63,3 +64,12 @@ def test_lead_list_without_city(spark):
     assert lead_list(spark, LEADS) == best(LEADS)
     # a name of signs alone is a name; cities are compared like names
     assert lead_list(spark, [(1, None, "!!", None, 1), (2, None, "【】", "", 2), (3, None, "Hair", "New-Elmo", 1), (4, None, "Hair", "new elmo", 1), (5, None, " ", "飯都町", 1)]) == [2, 3]
+
+
+def test_lead_list_of_long_names(spark):
+    long = "花" * 70
+    leads = [(1, None, long + "東店", "飯都町", 1), (2, None, long + "西店", "飯都町", 2), (3, None, long + "写真館", "飯都町", 3), (4, None, long + " Salon", "飯都町", 4)]
+    assert lead_list(spark, leads) == [1, 2, 3, 4]
+    r = pipeline.LeadRules(keywords=[Rule("写真館", "photo")], boosts=[Rule("salon", "", 5)])
+    made = pipeline.lead_list(spark.createDataFrame(leads, LEAD.replace("lead_id", "seq")), r)
+    assert sorted((x["seq"], x["name"], x["score"]) for x in made.collect()) == [(1, long + "東店", 1), (2, long + "西店", 2), (4, long + " Salon", 9)]
