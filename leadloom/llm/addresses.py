@@ -25,7 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -161,7 +161,7 @@ def near_area(part: str) -> bool:
 
 
 def parse(address: str | None) -> tuple[tuple[str, ...], str, str | None, str | None, str | None, str | None] | None:
-    """Possible towns (mostly one), block numbers, house number, building, ward and city of an address; None if it names neither house nor building."""
+    """Possible towns (mostly one; of several the last is the name as it is spelled, like that of a town of other elements), block numbers, house number, building, ward and city of an address; None if it names neither house nor building."""
     if not address:
         return None
     text = unicodedata.normalize("NFKC", address)
@@ -189,7 +189,13 @@ def parse(address: str | None) -> tuple[tuple[str, ...], str, str | None, str |
             city = next((c for _, c in areas if c), None)
             others = [p for p in parts if p not in AREA_PARTS and len(p) > 2]
             exact = latin_towns()[0]
-            towns = next(((exact[p],) for p in others if p in exact), None) or next((t for p in others if not near_area(p) and (t := latin_town(p))), ())
+            name, towns = next(((p, (exact[p],)) for p in others if p in exact), None) or next(((p, t) for p in others if not near_area(p) and (t := latin_town(p))), ("", ()))
+            if len(towns) > 1:
+                towns = (*towns, "?" + name)
+            elif not towns and all(re.fullmatch("[1-9][0-9]{0,2}", n) for n in m.groups() if n):  # no telephone number or date
+                beside = [re.split(r"[,\n;()]|\d+", low[: m.start()])[-1], re.split(r"[,\n;()]|\d+", low[m.end() :])[0]]
+                names = [x for x in (re.sub("[^a-z]", "", p) for p in beside) if x in others] + others
+                towns = next((("?" + p,) for p in names if not near_area(p)), ())
     if not towns:
         return None
     building = None if m[3] else building_of(text)
@@ -204,11 +210,11 @@ def other_town(text: str) -> str | None:
     return "?" + m[1] if m and re.search("[一-鿿ぁ-ヿ]", m[1]) else None
 
 
-SCHEMA = "page_id bigint, town string, choices int, block string, house string, building string, ward string, city string"
+SCHEMA = "page_id bigint, town string, choices int, block string, house string, building string, ward string, city string, spelling string"
 
 
 def places(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row for each field that holds an address and each town it may stand for (``choices`` of them)."""
+    """One row for each field that holds an address and each town it may stand for (``choices`` of them), with the ``spelling`` of a doubtful one."""
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +224,9 @@ def places(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
             for f in fields:
                 for i, address in zip(ids, b.column(f).to_pylist()):
                     if i is not None and (got := parse(address)):
-                        rows += [(i, town, len(got[0]), *got[1:]) for town in got[0]]
-            types = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 5]
+                        towns, spelling = (got[0][:-1], got[0][-1]) if len(got[0]) > 1 else (got[0], None)
+                        rows += [(i, town, len(towns), *got[1:], spelling) for town in towns]
+            types = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return pages.select(key, *fields).mapInArrow(run, SCHEMA)
@@ -231,18 +238,28 @@ def located(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Rules for missing components: an address without house number, but with a building, lies
     at the one house of its block at which that building is known, else at the building
     itself; one whose town is in doubt lies in that of the possible towns in which its
-    numbers are known; area as described above.
+    numbers are known, of several in that of the same ward, else city, and never in another
+    area; if its numbers are known in none, in a town of its own spelling; area as
+    described above.
     """
     each = cut(places(pages, key, fields).distinct())
     built = each.where("house is not null and building is not null and choices = 1").groupBy("town", "block", "building")
     houses = built.agg(F.min("house").alias("at"), F.max("house").alias("last")).where("at = last").drop("last")
+    # the place by the spelling of a doubtful town
+    each = each.withColumn("own", F.when(F.col("spelling").isNotNull(), F.concat_ws(" ", "spelling", "block", F.coalesce("house", F.concat(F.lit("b:"), "building")))))
     partial = each.where("house is null").join(houses, ["town", "block", "building"], "left")
-    whole = each.where("house is not null").select("page_id", "town", "choices", "block", "house", "ward", "city")
-    filled = partial.select("page_id", "town", "choices", "block", F.coalesce("at", F.concat(F.lit("b:"), "building")).alias("house"), "ward", "city")
-    every = whole.unionAll(filled).select("page_id", "choices", F.concat_ws(" ", "town", "block", "house").alias("place"), "ward", "city")
-    sure = every.where("choices = 1").drop("choices")
-    doubt = every.where("choices > 1").join(sure.select("place").distinct(), "place", "left_semi")
-    all_of = sure.unionAll(doubt.select("page_id", "place", "ward", "city")).distinct()
+    whole = each.where("house is not null").select("page_id", "town", "own", "block", "house", "ward", "city")
+    filled = partial.select("page_id", "town", "own", "block", F.coalesce("at", F.concat(F.lit("b:"), "building")).alias("house"), "ward", "city")
+    every = whole.unionAll(filled).select("page_id", "own", F.concat_ws(" ", "town", "block", "house").alias("place"), "ward", "city")
+    sure = every.where("own is null").drop("own")
+    doubt = every.where("own is not null").withColumn("address", F.concat_ws("|", "own", F.coalesce("ward", F.lit("-")), F.coalesce("city", F.lit("-"))))
+    same = lambda c: F.coalesce((F.col(c) == F.col(f"sure_{c}")).cast("int"), F.lit(0))
+    other = lambda c: F.coalesce(F.col(c) != F.col(f"sure_{c}"), F.lit(False))
+    met = doubt.join(sure.select("place", F.col("ward").alias("sure_ward"), F.col("city").alias("sure_city")).distinct(), "place").where(~other("ward") & ~other("city"))
+    ranked = met.withColumn("fit", 2 * same("ward") + same("city")).withColumn("most", F.max("fit").over(Window.partitionBy("page_id", "address")))
+    chosen = ranked.where("fit = most").select("page_id", "address", "place", "ward", "city")
+    alone = doubt.join(chosen.select("page_id", "address").distinct(), ["page_id", "address"], "left_anti").select("page_id", F.col("own").alias("place"), "ward", "city")
+    all_of = sure.unionAll(chosen.drop("address")).unionAll(alone).distinct()
     known = all_of.groupBy("place").agg(
         F.count_distinct("ward").alias("wards"), F.count_distinct("city").alias("cities"), F.min("page_id").alias("low"), F.max("page_id").alias("high")
     ).where("low < high")

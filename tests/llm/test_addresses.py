@@ -54,3 +54,20 @@ def test_missing_house_number_is_filled_by_the_building(spark):
 def test_areas_that_conflict(spark):
     data = [(1, "福羽市青田区東霧峰6-71-1", None), (2, "福羽市朝凪区東霧峰6-71-1", None), (3, "青田区東霧峰6-71-1", None)]
     assert pairs(spark, data) == [(1, 3)]
+
+
+def test_doubtful_towns_without_a_sure_match(spark):
+    data = [(1, "7-chome 54-2, Kaee, Asanagi-ku, Fukuha-shi", None), (2, "Kaee 7-54-2, Asanagi-ku", "Kaee 7-54-2, Asanagi-ku"), (3, "Kaee 7-54-3, Asanagi-ku", None), (4, "Kaee 7-54-2, Aota-ku", None)]
+    assert pairs(spark, data) == [(1, 2)]
+    assert pairs(spark, [*data, (5, "福羽市朝凪区亀江7-54-2", None)]) == [(1, 2), (1, 5), (2, 5)]
+
+
+def test_area_chooses_among_known_readings(spark):
+    data = [(1, "福羽市朝凪区亀江7-54-2", None), (2, "福羽市青田区金江7-54-2", None), (3, "Kaee 7-54-2, Aota-ku, Fukuha-shi", None), (4, "福羽市金江7-54-2", None)]
+    assert pairs(spark, data) == [(2, 3), (2, 4), (3, 4)]
+
+
+def test_unknown_latin_towns(spark):
+    data = [(1, "Higashi-Qwertz 6-71-1, Nagasato-shi", None), (2, "6-chome 71-1 higashiqwertz, nagasato city, Japan", None), (3, "Higashi-Qwertz 6-71-2, Nagasato-shi", None), (4, "Nishi-Qwertz 6-71-1, Nagasato-shi", None)]
+    assert pairs(spark, data) == [(1, 2)]
+    assert addresses.parse("Tel 03-1234-5678") is None and addresses.parse("Updated 2024-05-01") is None
