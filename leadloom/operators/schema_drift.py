@@ -100,7 +100,8 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     """``file_id, old_field, new_field`` of the fields that carry on under another name.
 
     ``gone`` and ``come`` hold ``file_id, before_id, field``. The share of equal values is at
-    least ``least``, and of what chance leaves open at least ``beyond_chance``.
+    least ``least``, and of what chance leaves open at least ``beyond_chance``. Best pairs
+    are taken first, each field once; ties go by more leads, then by the old and the new name.
     """
     both = gone.select("file_id").distinct().join(come.select("file_id").distinct(), "file_id")
     role = lambda side, at, n: side.join(both, "file_id", "left_semi").select(F.col(at).alias("from_file"), F.struct(F.col("file_id").alias("in_file"), F.lit(n).alias("role"), "field").alias("want"))
@@ -125,9 +126,19 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     scored = each.groupBy(*group).agg((F.sum("equal") / F.sum("a")).alias("share"), (F.sum(F.col("a") * F.col("b")) / F.sum("a") / F.sum("a")).alias("chance"), F.sum("a").alias("total"))
     scored = scored.withColumn("score", F.when(F.col("chance") >= 1, F.lit(0.5)).otherwise((F.col("share") - F.col("chance")) / (1 - F.col("chance"))))
     good = scored.where((F.col("share") >= least) & ((F.col("score") >= beyond_chance) | (F.col("chance") >= 1)))
-    best = lambda by, other: F.row_number().over(Window.partitionBy("in_file", by).orderBy(F.desc("score"), F.desc("total"), other))
-    chosen = good.withColumn("a", best("old_field", "new_field")).withColumn("b", best("new_field", "old_field")).where("a = 1 and b = 1")
-    return chosen.select(F.col("in_file").alias("file_id"), "old_field", "new_field")
+
+    def take(part: pd.DataFrame) -> pd.DataFrame:
+        old, new, out = set(), set(), []
+        order = part.sort_values(["score", "total", "old_field", "new_field"], ascending=[False, False, True, True])
+        for r in order.itertuples(index=False):
+            if r.old_field not in old and r.new_field not in new:
+                old.add(r.old_field)
+                new.add(r.new_field)
+                out.append((r.in_file, r.old_field, r.new_field))
+        return pd.DataFrame(out, columns=["file_id", "old_field", "new_field"])
+
+    # pairs of fields that agree are few
+    return good.select(*group, "score", "total").groupBy("in_file").applyInPandas(take, "file_id bigint, old_field string, new_field string")
 
 
 def changes(files: DataFrame, rows: DataFrame) -> DataFrame:

@@ -85,3 +85,8 @@ def test_consistent_table(spark):
     assert [score[f, "00002"].canonical for f in (1, 2, 3)] == ["2", "2", "2.5"]
     kinds = {(r.name, r.kind, r.first_file_id) for r in schema_drift.alternatives(files, data).collect()}
     assert kinds == {("name", "string", 1), ("score", "integer", 1), ("score", "string", 2), ("score", "decimal", 3)}
+
+
+def test_equal_fields_are_renamed_together(spark):
+    a, b = rows(a=NAME, b=NAME, c=lambda i: "x", d=lambda i: "x"), rows(x=NAME, y=NAME, v=lambda i: "x", w=lambda i: "x")
+    assert found(spark, ("f", a), ("f", b)) == [(2, "renamed", "a", "x"), (2, "renamed", "b", "y"), (2, "renamed", "c", "v"), (2, "renamed", "d", "w")]
