@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import clean_spaces
-from .urls import domain_display_name
+from .urls import domain_display_name, let
 
 # Words of titles that are no names.
 GENERIC = ["トップページ", "ホーム", "home", "top", "index", "公式サイト", "ご予約", "ご案内", "初回限定メニュー"]
@@ -16,10 +16,14 @@ GENERIC = ["トップページ", "ホーム", "home", "top", "index", "公式サ
 
 def candidates(title: Column) -> Column:
     """Parts of a title that may be its name, in order: text in quotes, then the parts between separators without a leading label."""
-    bare = F.regexp_replace(clean_spaces(title), r"^(?:【[^】]*】|\[[^\]]*\])\s*", "")
-    quotes = F.regexp_extract_all(bare, F.lit(r"[「『“\"]([^」』”\"]{2,40})[」』”\"]"), F.lit(1))
-    parts = F.split(bare, r"(?U)\s*[|｜–—]\s*|\s+[-/]\s+")
-    return F.array_distinct(F.filter(F.transform(F.concat(quotes, parts), clean_spaces), lambda x: F.length(x) > 0))
+    # leading labels go before the ends are cleaned, which takes brackets away
+    bare = clean_spaces(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^[\s\x{FEFF}\x{200B}]*(?:【[^】]*】|\[[^\]]*\])\s*", ""))
+
+    def parts(b: Column) -> Column:
+        quotes = F.regexp_extract_all(b, F.lit(r"[「『“\"]([^」』”\"]{2,40})[」』”\"]"), F.lit(1))
+        return F.concat(quotes, F.split(b, r"(?U)\s*[|｜–—]\s*|\s+[-/]\s+"))
+
+    return F.array_distinct(F.filter(F.transform(let(bare, parts), clean_spaces), lambda x: F.length(x) > 0))
 
 
 def name_score(name: Column, domain: Column, generic: Sequence[str] = tuple(GENERIC)) -> Column:
@@ -35,10 +39,13 @@ def name_score(name: Column, domain: Column, generic: Sequence[str] = tuple(GENE
 def best_name(title: Column, domain: Column) -> Column:
     """Struct of the best candidate (the first on ties), its score, its source and a confidence; the domain's words if no candidate is good."""
     scored = F.transform(candidates(title), lambda x, i: F.struct(name_score(x, domain).alias("score"), (-i).alias("place"), x.alias("name")))
-    best = F.array_max(scored)
-    good = F.coalesce(best["score"] >= 40, F.lit(False))
-    score = F.when(good, best["score"]).otherwise(F.lit(30))
-    return F.struct(
-        F.when(good, best["name"]).otherwise(domain_display_name(domain)).alias("name"), score.cast("int").alias("score"), F.when(good, "title").otherwise("domain").alias("source"),
-        F.when(score >= 70, "high").when(score >= 50, "medium").otherwise("low").alias("confidence"),
-    )
+
+    def chosen(best: Column) -> Column:
+        good = F.coalesce(best["score"] >= 40, F.lit(False))
+        score = F.when(good, best["score"]).otherwise(F.lit(30))
+        return F.struct(
+            F.when(good, best["name"]).otherwise(domain_display_name(domain)).alias("name"), score.cast("int").alias("score"), F.when(good, "title").otherwise("domain").alias("source"),
+            F.when(score >= 70, "high").when(score >= 50, "medium").otherwise("low").alias("confidence"),
+        )
+
+    return let(F.array_max(scored), chosen)

@@ -28,13 +28,18 @@ FREE_PLATFORMS = {
     "studio.site": ["studio.site"], "lit.link": ["lit.link"], "linktree": ["linktr.ee"], "thebase": ["thebase.in"], "base.shop": ["base.shop"], "stores": ["stores.jp"],
     "goope": ["goope.jp"], "wordpress": ["wp-content", "wordpress"],
 }
-FOREIGN_TLDS = (
-    ".de .fr .es .it .nl .pt .pl .ru .se .no .dk .fi .cz .at .ch .be .ie .gr .hu .ro .bg .hr .sk .si .lt .lv .ee .co.uk .org.uk .me.uk "
-    ".com.au .com.br .com.mx .com.ar .com.co .com.tr .com.sa .com.eg .co.za .co.ke .co.in .co.id .co.th .co.kr .com.cn .com.tw .com.hk .com.sg .com.my .com.ph .com.vn "
-    ".in .cn .kr .tw .th .vn .ph .my .sg .id"
-).split()
-JP_PLATFORMS = ("peraichi.com jimdofree.com wixsite.com wordpress.com studio.site crayonsite.com crayonsite.net webnode.jp weebly.com strikingly.com goope.jp "
-                "shopify.com jimdo.com wix.com squarespace.com base.shop stores.jp thebase.in booth.pm google.com").split()
+FOREIGN_TLDS = [
+    ".de", ".fr", ".es", ".it", ".nl", ".pt", ".pl", ".ru", ".se", ".no", ".dk", ".fi", ".cz", ".at", ".ch", ".be", ".ie", ".gr", ".hu", ".ro",
+    ".bg", ".hr", ".sk", ".si", ".lt", ".lv", ".ee", ".co.uk", ".org.uk", ".me.uk", ".com.au", ".com.br", ".com.mx", ".com.ar", ".com.co", ".com.tr",
+    ".com.sa", ".com.eg", ".co.za", ".co.ke", ".co.in", ".co.id", ".co.th", ".co.kr", ".com.cn", ".com.tw", ".com.hk", ".com.sg", ".com.my",
+    ".com.ph", ".com.vn", ".in", ".cn", ".kr", ".tw", ".th", ".vn", ".ph", ".my", ".sg", ".id",
+]
+JP_PLATFORMS = [
+    "peraichi.com", "jimdofree.com", "wixsite.com", "wordpress.com", "studio.site", "crayonsite.com", "crayonsite.net", "webnode.jp", "weebly.com",
+    "strikingly.com", "goope.jp", "shopify.com", "jimdo.com", "wix.com", "squarespace.com", "base.shop", "stores.jp", "thebase.in", "booth.pm",
+    "google.com",
+]
+JP_SIGNALS = ["japan", "tokyo", "osaka", "kyoto", "nagoya", "yokohama", "sapporo", "fukuoka", "sendai", "hiroshima", "kobe", "/jp/", "/ja/", "-jp", "_jp"]
 
 
 @dataclass(frozen=True)

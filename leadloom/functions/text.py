@@ -50,9 +50,9 @@ def store_name_key(c: Column) -> Column:
 
 
 def clean_spaces(c: Column) -> Column:
-    """Without BOM and zero-width space, wide spaces narrow, no separators at the ends."""
-    s = F.translate(F.coalesce(c, F.lit("")), "﻿​　", "")
-    return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"(?U)^[\s|｜\-–—/／:：]+|[\s|｜\-–—/／:：]+$", "")
+    """One line without BOM and zero-width space; runs of white space, wide spaces too, become a space; separators and square brackets at the ends go."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{FEFF}\x{200B}]", "")
+    return F.regexp_replace(F.regexp_replace(s, r"(?U)[\s\x{3000}]+", " "), r"^[ \-–—|｜:：／/\[\]【】]+|[ \-–—|｜:：／/\[\]【】]+$", "")
 
 
 def snippet(c: Column, word: str, around: int = 18) -> Column:
@@ -105,9 +105,11 @@ def token_match(c: Column, tokens: Sequence[str]) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Integer of a text that is one; null otherwise."""
-    s = c.cast("string")
-    return F.when(s.rlike(r"^\s*[+-]?\d+\s*$"), F.expr("try_cast(1 as int)") * F.trim(s).try_cast("int"))
+    """Integer of up to 38 digits of a text that is one, as a decimal; null otherwise. Longer ones become the largest or smallest."""
+    s = F.regexp_extract(c.cast("string"), r"^\s*([+-]?)0*(\d+)\s*$", 0)
+    sign, digits = (F.regexp_extract(c.cast("string"), r"^\s*([+-]?)0*(\d+)\s*$", i) for i in (1, 2))
+    most = F.when(F.length(digits) > 38, F.lit("9" * 38)).otherwise(digits)
+    return F.when(s != "", F.concat(F.when(sign == "-", "-").otherwise(""), most).try_cast("decimal(38,0)"))
 
 
 def score_0_100(c: Column) -> Column:
@@ -115,6 +117,11 @@ def score_0_100(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(whole_number(c), F.lit(0)))).cast("int")
 
 
+def decimal_number(c: Column) -> Column:
+    """Number of a text with or without thousands commas; 0 if it is none."""
+    return F.coalesce(F.replace(strip(c.cast("string")), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
+
+
 def ratio(n: Column, d: Column) -> Column:
     """Ratio rounded half-even to 6 places; 0 for an empty base."""
     return F.when(d > 0, F.bround(n / d, 6)).otherwise(F.lit(0.0))
@@ -160,3 +167,9 @@ def japanese_ratio(c: Column) -> Column:
 
 def occurrences(c: Column, word: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+
+
+def run_times(now: Column) -> tuple[Column, Column]:
+    """(local +09:00 time as ISO text, run identifier YYYYMMDD_HHMMSS) of an instant that is an input, so that a run can be repeated."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), now.cast("timestamp_ntz"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")), F.date_format(local, "yyyyMMdd_HHmmss")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import BUSINESS_PATHS, FOREIGN_TLDS, JP_PLATFORMS, JUNK_EXTENSIONS, JUNK_PATHS, PREFERRED_PATHS, TRACKING_PARAMS, contains_any
+from .rules import BUSINESS_PATHS, FOREIGN_TLDS, JP_PLATFORMS, JP_SIGNALS, JUNK_EXTENSIONS, JUNK_PATHS, PREFERRED_PATHS, TRACKING_PARAMS, contains_any
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -176,16 +176,23 @@ def domain_display_name(domain: Column) -> Column:
     deep = (n >= 3) & (F.try_element_at(parts, F.lit(-1)) == "jp") & F.try_element_at(parts, F.lit(-2)).isin("co", "or", "ne", "ac", "go", "gr", "ed", "lg", "ad")
     label = F.when(deep, F.try_element_at(parts, F.lit(-3))).when(n >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(F.try_element_at(parts, F.lit(1)))
     words = F.filter(F.split(F.regexp_replace(label, r"[^a-zA-Z0-9]+", "-"), "-"), lambda x: x != "")
-    return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.right(w, F.length(w) - 1)))), " "), F.lit(""))
 
 
-def path_priority(url: Column, preferred: Sequence[str] = tuple(PREFERRED_PATHS)) -> Column:
-    """Place of the first preferred pattern in the path: 0 for the root, else the first one contained, else their number."""
-    p = F.lower(path(url))
-    out = F.when((p == "") | (p == "/"), 0)
+def path_priority(url: Column, preferred: Sequence[str] = tuple(PREFERRED_PATHS), other: int = 100) -> Column:
+    """Place of a path among preferred patterns, smaller is earlier: 0 for the root, from 1 for the first pattern contained, else ``other``; 999 for null."""
+    p = F.regexp_replace(F.lower(path(url)), r"/+\z", "")
+    out = F.when(url.isNull(), 999).when(p == "", 0)
     for i, x in enumerate(preferred):
-        out = out.when(F.contains(p, F.lit(x)), max(i, 1))
-    return out.otherwise(len(preferred)).cast("int")
+        out = out.when(F.contains(p, F.lit(x)), i + 1)
+    return out.otherwise(other).cast("int")
+
+
+def url_score(url: Column, preferred: Sequence[str], hosted: Sequence[str] = (".blogspot.", ".wordpress.com", ".tumblr.")) -> Column:
+    """100 for an address with a preferred pattern, 50 for a host of its own with at most two path segments, else 10."""
+    u = F.lower(url)
+    own = (netloc(url) != "") & ~contains_any(u, hosted) & (F.size(F.split(path(url), "/")) <= 3)
+    return F.when(contains_any(u, preferred), 100).when(F.coalesce(own, F.lit(False)), 50).otherwise(10).cast("int")
 
 
 def process_priority(url: Column) -> list[Column]:
@@ -217,7 +224,39 @@ def is_foreign(url: Column) -> Column:
     return F.coalesce(~dom.endswith(".jp") & ~host_in(dom, JP_PLATFORMS) & tld, F.lit(False))
 
 
+def national_signal(url: Column, signals: Sequence[str] = tuple(JP_SIGNALS)) -> Column:
+    """Whether an address of a foreign domain looks national after all: a part of its host, a word, or percent-encoded Japanese in path or query."""
+    u = F.lower(url)
+    dom = F.replace(netloc(u), F.lit("www."), F.lit(""))
+    host = dom.startswith("jp.") | F.contains(dom, F.lit(".jp.")) | F.contains(dom, F.lit("japan"))
+    return F.coalesce(host | contains_any(u, signals) | F.concat(path(u), F.lit("?"), query(u)).rlike("%e[3-9]"), F.lit(False))
+
+
+#: What a domain may consist of: labels of letters, digits and inner hyphens.
+DOMAIN = r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
+
+
+def strict_domain(value: Column) -> Column:
+    """A bare domain like ``clean_domain``, but only if all its labels are well formed; else ''."""
+    d = clean_domain(value)
+    return F.when(d.rlike(DOMAIN), d).otherwise("")
+
+
+def same_host(a: Column, b: Column) -> Column:
+    """Equal hosts of two addresses, ports and users aside; false where either has none."""
+    host = lambda u: F.regexp_replace(F.regexp_replace(F.lower(netloc(u)), r"^.*@", ""), r":\d*\z", "")
+    return F.coalesce((host(a) != "") & (host(a) == host(b)), F.lit(False))
+
+
 def lead_slug(value: Column, size: int = 56) -> Column:
     """Identifier text: lf- and the words (letters, marks, numbers and _; format characters separate) of a value, at most ``size`` letters."""
     s = F.regexp_replace(F.regexp_replace(F.lower(strip(value)), r"[^\p{L}\p{M}\p{N}_]+", "-"), "^-+|-+$", "")
     return F.concat(F.lit("lf-"), F.regexp_replace(F.substring(s, 1, size), "-+$", ""))
+
+
+def lead_id(domain: Column, name: Column, row: Column) -> Column:
+    """Identifier of a lead: the slug of its domain; else of its name with the row's number; else the number alone."""
+    number = F.concat(F.lit("-r"), F.lpad(row.cast("string"), 5, "0"))
+    number = F.when(F.length(row.cast("string")) > 5, F.concat(F.lit("-r"), row.cast("string"))).otherwise(number)
+    by_domain, by_name = lead_slug(F.replace(F.coalesce(domain, F.lit("")), F.lit("."), F.lit("-"))), lead_slug(F.coalesce(name, F.lit("")), 40)
+    return F.when(by_domain != "lf-", by_domain).when(by_name != "lf-", F.concat(by_name, number)).otherwise(F.concat(F.lit("lf-unknown"), number))

@@ -45,9 +45,10 @@ def keep_best_two_keys(df: DataFrame, first: Column, second: Column, score: Colu
 
 def keep_position(df: DataFrame, key: Column, score: Column, seq: Column) -> DataFrame:
     """Best row of each key at the place (``position``) of the key's first row."""
-    w = Window.partitionBy("_key")
-    tagged = df.withColumn("_key", key).where("_key <> ''").withColumn("position", F.min(seq).over(w))
-    return keep_best(tagged, [F.col("_key")], score, seq).drop("_key")
+    tagged = computed(df, {"_key": key}).where("_key <> ''")
+    # counted and chosen apart, both with partial results, so that no key's rows meet in one task
+    first = tagged.groupBy("_key").agg(F.min(seq).alias("position"))
+    return keep_best(tagged, [F.col("_key")], score, seq).join(first, "_key").drop("_key")
 
 
 def smallest_raw(df: DataFrame, key: Column, raw: Column) -> DataFrame:

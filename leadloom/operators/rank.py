@@ -17,10 +17,19 @@ def top_k(df: DataFrame, key: Sequence[Column], order: Sequence[Column], k: int,
 
 
 def top_share(df: DataFrame, key: Sequence[str], order: Sequence[Column], share: float) -> DataFrame:
-    """The first ``floor(n * share)`` rows (at least one) of each key by ``order``."""
-    n = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.join(n, list(key)).where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).drop("_n")
+    """The first ``floor(n * share)`` rows (at least one) of each key by ``order``, with their rank; null keys are keys.
+
+    ``key`` and ``order`` must order all rows (ties make the choice arbitrary). Ranks come from one global range
+    sort, so a key that holds most rows is spread over many tasks.
+    """
+    placed = positions(df, [*[F.col(k).asc_nulls_first() for k in key], *order], "_at")
+    size = placed.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    names = {k: f"_of_{i}" for i, k in enumerate(key)}
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & placed[k].eqNullSafe(F.col(n))
+    ranked = placed.join(size.withColumnsRenamed(names), same).withColumn("rank", (F.col("_at") - F.col("_low") + 1).cast("int"))
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).drop("_n", "_low", "_at", *names.values())
 
 
 def label_order(label: Column) -> Column:
@@ -31,7 +40,7 @@ def label_order(label: Column) -> Column:
 def rescue(kept: DataFrame, spare: DataFrame, key: Sequence[str], order: Sequence[Column], least: int, most: int) -> DataFrame:
     """Spare rows that fill each key up to ``least`` kept rows, at most ``most`` of them."""
     held = kept.groupBy(*key).agg(F.count("*").alias("_held"))
-    ranked = spare.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    ranked = top_k(spare, [F.col(k) for k in key], order, most)  # the fixed limit first: Spark drops the others before the shuffle
     need = F.least(F.lit(least) - F.coalesce("_held", F.lit(0)), F.lit(most))
     return ranked.join(held, list(key), "left").where(F.col("rank") <= need).drop("_held")
 

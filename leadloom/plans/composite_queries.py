@@ -18,11 +18,11 @@ PICK = "coalesce(" + ", ".join("nullif(" + TRIM.format(x=c) + ", '')" for c in (
 
 @query(rf"""
 WITH n AS (SELECT lead_id AS seq, coalesce({TRIM.format(x="url")}, '') AS url, {ONE.format(x=PICK)} AS nm, coalesce({ONE.format(x="city")}, '') AS city, greatest(0, least(100, coalesce(lead_score, 0))) AS s, coalesce(sales_label, '') AS label FROM leads),
-a AS (SELECT *, CASE WHEN len(nm) > 60 THEN nm[1:59] || '…' ELSE nm END AS name, regexp_replace(lower(regexp_extract(CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END, '://([^/?#]*)', 1)), '^www\.', '') AS domain,
+a AS (SELECT *, nm AS name, regexp_replace(lower(regexp_extract(CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://' || url END, '://([^/?#]*)', 1)), '^www\.', '') AS domain,
   regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS p FROM n),
 b AS (SELECT *, CASE WHEN url = '' THEN '' ELSE 'https://' || domain || CASE WHEN p = '' THEN '/' ELSE p END END AS url_strict, translate(regexp_replace(lower(name), '[・\-_\s\p{{Z}}.,!?''"()\[\]{{}}/\\【】「」『』（）]', '', 'g'), '０１２３４５６７８９', '0123456789') AS name_key,
   greatest(0, least(100, s + least(10, CASE WHEN contains(lower(url || ' ' || name), 'salon') THEN 5 ELSE 0 END + CASE WHEN contains(lower(url || ' ' || name), 'ピアノ') THEN 8 ELSE 0 END))) AS score FROM a),
-k AS (SELECT *, CASE WHEN name_key <> '' AND city <> '' THEN name_key || '|' || city ELSE '' END AS k2 FROM b WHERE NOT (domain = 'kuchikomi-navi.example' OR ends_with(domain, '.kuchikomi-navi.example')) AND NOT contains(lower(url || ' ' || name), '写真館')),
+k AS (SELECT *, CASE WHEN name <> '' THEN name_key || '|' || translate(regexp_replace(lower(city), '[・\-_\s\p{{Z}}.,!?''"()\[\]{{}}/\\【】「」『』（）]', '', 'g'), '０１２３４５６７８９', '0123456789') ELSE '' END AS k2 FROM b WHERE NOT (domain = 'kuchikomi-navi.example' OR ends_with(domain, '.kuchikomi-navi.example')) AND NOT contains(lower(url || ' ' || name), '写真館')),
 r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url_strict <> '' THEN 'u' || url_strict ELSE 'n' || k2 END ORDER BY score DESC, seq) AS n FROM k WHERE url_strict <> '' OR k2 <> '')
 SELECT seq, url, name, city, CAST(score AS INTEGER) AS score, label, url_strict, domain, name_key, '' AS filter_reason, CASE WHEN score >= 60 THEN 'A' WHEN score >= 40 THEN 'B' ELSE 'C' END AS grade, CAST(CASE label WHEN '○' THEN 2 WHEN '△' THEN 1 ELSE 0 END AS INTEGER) AS label_order FROM r WHERE n = 1
 """)

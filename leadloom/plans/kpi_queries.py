@@ -191,7 +191,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     card = [(F.col("url").startswith("https://"), 5, "https"), (F.col("phone").isNotNull(), 10, "phone"), (F.coalesce("city", F.lit("")) == "", -15, "no_city")]
     score, why = rules.scorecard(card, F.coalesce("lead_score", F.lit(0)), 0, 100)
     scored = leads.select("lead_id", dom.alias("site"), "store_name", "city", "sales_label", score.alias("score"), F.array_join(why, "; ").alias("reasons"))
-    best = dedupe.keep_best(scored, [F.col("site"), F.coalesce("store_name", F.lit(""))], F.col("score"), F.col("lead_id"))
+    name = F.coalesce("store_name", F.lit(""))
+    # without site and name nothing tells that two leads are one: each stands for itself
+    alone = F.when((F.col("site") == "") & (name == ""), F.col("lead_id"))
+    best = dedupe.keep_best(scored, [F.col("site"), name, alone], F.col("score"), F.col("lead_id"))
     return best.withColumns({"grade": classify.grade(F.col("score")), "label_order": rank.label_order(F.col("sales_label"))})
 
 
@@ -200,7 +203,7 @@ WITH t AS (SELECT lead_id, lower(trim(coalesce(domain, ''), E' \t\r\n　')) AS v
   array_to_string(list_filter([CASE WHEN starts_with(url, 'https://') THEN 'https' END, CASE WHEN phone IS NOT NULL THEN 'phone' END, CASE WHEN coalesce(city, '') = '' THEN 'no_city' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM leads WHERE url_status = 'OK'),
 c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(v, ':.*$', ''), '^\.+|\.+$', '', 'g'), '^www\.', '') AS x FROM t),
 k AS (SELECT *, CASE WHEN contains(x, '.') THEN x ELSE '' END AS site FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY site, coalesce(store_name, '') ORDER BY s DESC, lead_id) AS n FROM k)
+r AS (SELECT *, row_number() OVER (PARTITION BY site, coalesce(store_name, ''), CASE WHEN site = '' AND coalesce(store_name, '') = '' THEN lead_id END ORDER BY s DESC, lead_id) AS n FROM k)
 SELECT lead_id, site, store_name, city, sales_label, CAST(s AS INTEGER) AS score, reasons, CASE WHEN s >= 60 THEN 'A' WHEN s >= 40 THEN 'B' ELSE 'C' END AS grade, CAST(CASE sales_label WHEN '○' THEN 2 WHEN '△' THEN 1 ELSE 0 END AS INTEGER) AS label_order FROM r WHERE n = 1
 """
 query(FLAGSHIP)(flagship)

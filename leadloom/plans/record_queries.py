@@ -172,11 +172,11 @@ def lead_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT name_id, len(regexp_split_to_array(trim(display_name), '\\s+')) AS words, name_confidence AS c FROM site_names WHERE display_name IS NOT NULL AND NOT regexp_matches(display_name, '[\\x{80}-\\x{A0}\\x{3000}]'))
+WITH w AS (SELECT name_id, len(regexp_split_to_array(regexp_replace(display_name, '^[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g'), '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+')) AS words, name_confidence AS c FROM site_names WHERE display_name IS NOT NULL)
 SELECT coalesce(c, 'none') AS confidence, CAST(least(words, 4) AS INTEGER) AS words, count(*) AS n FROM w GROUP BY 1, 2
 """)
 def name_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Names by confidence and number of words between Unicode white space; the SQL covers only names without U+0080-U+00A0 and U+3000."""
+    """Names by confidence and number of words between Unicode white space."""
     t = table(spark, d, "site_names").where(F.col("display_name").isNotNull())
     words = F.least(F.size(F.split(urls.strip(F.col("display_name")), r"(?U)\s+")), F.lit(4)).cast("int")
     return t.groupBy(F.coalesce("name_confidence", F.lit("none")).alias("confidence"), words.alias("words")).agg(F.count("*").alias("n"))

@@ -17,13 +17,13 @@ def best_per_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT lead_id, lead_score, coalesce(url, '') AS k1, CASE WHEN coalesce(store_name, '') <> '' AND coalesce(city, '') <> '' THEN lower(store_name) || '|' || city ELSE '' END AS k2 FROM leads),
+WITH t AS (SELECT lead_id, lead_score, coalesce(url, '') AS k1, CASE WHEN coalesce(store_name, '') <> '' THEN lower(store_name) || '|' || lower(coalesce(city, '')) ELSE '' END AS k2 FROM leads),
 a AS (SELECT lead_id, row_number() OVER (PARTITION BY k1 ORDER BY coalesce(lead_score, 0) DESC, lead_id) AS n FROM t WHERE k1 <> ''),
 b AS (SELECT lead_id, row_number() OVER (PARTITION BY k2 ORDER BY coalesce(lead_score, 0) DESC, lead_id) AS n FROM t WHERE k1 = '' AND k2 <> '')
 SELECT lead_id FROM a WHERE n = 1 UNION ALL SELECT lead_id FROM b WHERE n = 1
 """)
 def best_two_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The best lead of each address, else of each name and city; the SQL leaves out names without a city."""
+    """The best lead of each address, else of each name and city, which may be missing."""
     name, city = F.coalesce("store_name", F.lit("")), F.coalesce("city", F.lit(""))
     second = F.when(name != "", F.concat(F.lower(name), F.lit("|"), F.lower(city))).otherwise("")
     leads = table(spark, d, "leads")
@@ -157,10 +157,20 @@ WITH r AS (SELECT lead_id, url_status, row_number() OVER (PARTITION BY url_statu
 SELECT lead_id, url_status FROM r WHERE n <= greatest(1, floor(c * 0.25))
 """)
 def top_share(spark: SparkSession, d: str) -> DataFrame:
-    leads = table(spark, d, "leads").where("url_status is not null or url_status is null").withColumn("url_status", F.col("url_status"))
+    leads = table(spark, d, "leads").select("lead_id", "url_status", "lead_score")
     return rank.top_share(leads, ["url_status"], [F.col("lead_score").desc_nulls_last(), F.col("lead_id")], 0.25).select("lead_id", "url_status")
 
 
+@query("""
+WITH r AS (SELECT lead_id, city, row_number() OVER (PARTITION BY city ORDER BY lead_score DESC NULLS LAST, lead_id) AS n, count(*) OVER (PARTITION BY city) AS c FROM leads)
+SELECT lead_id, city, CAST(n AS INTEGER) AS rank FROM r WHERE n <= greatest(1, floor(c * 0.1))
+""")
+def top_share_of_city(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of each city's leads, also of those without a city."""
+    leads = table(spark, d, "leads").select("lead_id", "city", "lead_score")
+    return rank.top_share(leads, ["city"], [F.col("lead_score").desc_nulls_last(), F.col("lead_id")], 0.1).select("lead_id", "city", "rank")
+
+
 @query("""
 WITH k AS (SELECT c_nationkey, count(*) AS h FROM customer WHERE c_acctbal > 9000 GROUP BY 1), s AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer WHERE c_acctbal <= 9000)
 SELECT c_custkey, s.c_nationkey FROM s LEFT JOIN k ON s.c_nationkey = k.c_nationkey WHERE n <= least(8 - coalesce(h, 0), 4)
@@ -267,9 +277,9 @@ def warning_counts(spark: SparkSession, d: str) -> DataFrame:
     return exploded_counts(names, items)
 
 
-@query(r"""SELECT lead_id, CASE WHEN trim(store_name) <> '' THEN left('lf-' || regexp_replace(regexp_replace(lower(trim(store_name)), '[^\p{L}\p{M}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 59) END AS slug FROM (SELECT lead_id, regexp_replace(store_name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS store_name FROM leads WHERE store_name IS NOT NULL AND NOT regexp_matches(store_name, '[\p{Cf}\x{180E}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{2100}-\x{2FFF}\x{1D400}-\x{1D7FF}]'))""")
+@query(r"""SELECT lead_id, CASE WHEN trim(store_name) <> '' THEN left('lf-' || regexp_replace(regexp_replace(lower(trim(store_name)), '[^\p{L}\p{M}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g'), 59) END AS slug FROM (SELECT lead_id, regexp_replace(store_name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS store_name FROM leads WHERE store_name IS NOT NULL)""")
 def lead_slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs of all named leads; the SQL covers only names without format characters, variation selectors, symbols and styled letters."""
+    """Slugs of all named leads."""
     leads = table(spark, d, "leads").where(F.col("store_name").isNotNull())
     return leads.select("lead_id", F.when(urls.strip(F.col("store_name")) != "", urls.lead_slug(F.col("store_name"))).alias("slug"))
 

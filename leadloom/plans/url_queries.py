@@ -110,7 +110,7 @@ DOM = f"replace(lower({NET.format(u='url')}), 'www.', '')"
 
 
 @query(rf"""
-SELECT page_id, CAST(CASE WHEN {P} IN ('', '/') THEN 0 {' '.join(f"WHEN contains({P}, '{x}') THEN {max(i, 1)}" for i, x in enumerate(rules.PREFERRED_PATHS))} ELSE {len(rules.PREFERRED_PATHS)} END AS INTEGER) AS path_priority,
+SELECT page_id, CAST(CASE WHEN regexp_replace({P}, '/+$', '') = '' THEN 0 {' '.join(f"WHEN contains(regexp_replace({P}, '/+$', ''), '{x}') THEN {i + 1}" for i, x in enumerate(rules.PREFERRED_PATHS))} ELSE 100 END AS INTEGER) AS path_priority,
   CAST(CASE WHEN ends_with({DOM}, '.jp') THEN -2 ELSE 2 END AS INTEGER) AS k_national, CAST(CASE WHEN {any_of(DOM, rules.JP_PLATFORMS[:11])} THEN 1 ELSE 0 END AS INTEGER) AS k_builder,
   CAST(CASE WHEN {any_of(f"regexp_replace({P}, '/+$', '')", rules.BUSINESS_PATHS)} THEN -1 ELSE 0 END AS INTEGER) AS k_business,
   CAST(len(regexp_replace({P}, '/+$', '')) - len(replace(regexp_replace({P}, '/+$', ''), '/', '')) AS INTEGER) AS k_depth

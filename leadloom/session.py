@@ -16,20 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by the executors that ``spark.checkpoint.dir`` names.
 
-    A temporary folder of this machine is used only where that setting is unset
-    and no folder was set on the context, as in tests on ``local[*]``.
+    Where that setting is unset and no folder was set on the context, a temporary folder of
+    this machine is used on a local master, where driver and executors are one process; on a
+    cluster RuntimeError is raised.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leadloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` by a reliable checkpoint, which survives the loss of executors."""
+    """Materialise ``df`` by a reliable checkpoint, which survives the loss of executors.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it when it is no longer used.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
