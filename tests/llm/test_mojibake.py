@@ -88,3 +88,37 @@ def test_shifts_in_single_fields(spark):
     df = spark.createDataFrame([(1, bad, "Hair"), (2, "Nail", bad)], "name_id bigint, a string, b string")
     got = sorted(tuple(r) for r in mojibake.garbled_fields(df, "name_id", ["a", "b"]).collect())
     assert got == [(1, "a", bad, TEXTS[0], "iso2022_jp/ascii"), (2, "b", bad, TEXTS[0], "iso2022_jp/ascii")]
+
+
+@pytest.mark.parametrize("text,true,wrong", [("Привет мир", "utf-8", "sloppy_1252"), ("Größe", "utf-8", "cp850"), ("Größe", "utf-8", "cp437"), ("中文商店", "gbk", "latin-1"), ("Привет мир", "cp1251", "latin-1"), ("안녕하세요", "utf-8", "latin-1"), ("Ελένη", "utf-8", "mac_roman")])
+def test_other_scripts(text, true, wrong):
+    assert mojibake.inspect(garble(text, true, wrong))[:2] == (True, text)
+
+
+def test_nothing_is_restored_where_several_encodings_make_sense():
+    assert mojibake.inspect(garble("안녕하세요", "euc_kr", "latin-1"))[:2] == (True, None)
+    assert mojibake.inspect(garble("美容室", "euc_jp", "latin-1"))[:2] == (True, None)
+    assert mojibake.inspect("ネイル " + garble("美容室", "euc_jp", "latin-1"))[:2] == (True, "ネイル 美容室")
+
+
+def test_any_number_of_layers():
+    text = "写真館 はな"
+    for _ in range(7):
+        text = garble(text, "utf-8", "sloppy_1252")
+        assert mojibake.inspect(text)[:2] == (True, "写真館 はな")
+
+
+def test_look_alike_letters_are_no_garbling():
+    assert mojibake.inspect("salonК café") == (False, None, None)
+    assert mojibake.inspect("Espaсa")[:2] == (True, "España")
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        start = time.perf_counter()
+        assert mojibake.inspect(garble("写真館 はな", "utf-8", "latin-1") * n)[:2] == (True, "写真館 はな" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * took[0]
