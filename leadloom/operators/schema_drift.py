@@ -17,6 +17,7 @@ of a lead the last line holds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,16 +142,38 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     return good.select(*group, "score", "total").groupBy("in_file").applyInPandas(take, "file_id bigint, old_field string, new_field string")
 
 
-def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every change of a file against the file before it in its feed: ``file_id, change, old_field, new_field``."""
-    order = file_order(files).where("before_id is not null").select("file_id", "before_id")
-    # fields of files and their renames are few beside the rows; cut, the payloads are parsed twice and not for each branch
+@dataclass
+class Compared:
+    """The files of all feeds compared with the files before them, each part computed once.
+
+    ``order`` (file_order), ``schemas`` (file_schemas), ``both`` (fields of a file and of the file
+    before it with their types ``now`` and ``was``) and ``moved`` (renames). Schemas and renames
+    are few beside the rows and are cut: payloads are parsed once for them, those of files with
+    fields that go and come once more for renames, whatever is derived from them.
+    """
+
+    order: DataFrame
+    schemas: DataFrame
+    both: DataFrame
+    moved: DataFrame
+
+
+def compared(files: DataFrame, rows: DataFrame) -> Compared:
+    every = file_order(files)
+    order = every.where("before_id is not null").select("file_id", "before_id")
     schemas = cut(file_schemas(rows))
     now = order.join(schemas, "file_id").select("file_id", "before_id", "field", F.col("kinds").alias("now"))
     was = order.join(schemas.withColumnRenamed("file_id", "before_id"), "before_id").select("file_id", "before_id", "field", F.col("kinds").alias("was"))
     both = cut(now.join(was, ["file_id", "before_id", "field"], "full"))
     gone, come = both.where("now is null"), both.where("was is null")
     moved = cut(renames(rows, gone.select("file_id", "before_id", "field"), come.select("file_id", "before_id", "field")))
+    return Compared(every, schemas, both, moved)
+
+
+def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every change of a file against the file before it in its feed: ``file_id, change, old_field, new_field``."""
+    c = compared(files, rows)
+    both, moved, gone, come = c.both, c.moved, c.both.where("now is null"), c.both.where("was is null")
     old, new = moved.select("file_id", F.col("old_field").alias("field")), moved.select("file_id", F.col("new_field").alias("field"))
     row = lambda change, a, b: [F.col("file_id"), F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field")]
     field, none = F.col("field"), F.lit("")
@@ -168,31 +191,33 @@ def changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def lineage(files: DataFrame, rows: DataFrame) -> DataFrame:
+def lineage(c: Compared) -> DataFrame:
     """``file_id, feed, field, name``: the name under which a field first appeared in its feed, followed through its renames.
 
-    What is gathered per feed are its renames, a few for each file; values are never gathered.
+    A field's files in a feed fall into stretches, a new one wherever a rename leads to it. Renames
+    link stretches; their chains are followed by doubling, so their number of joins is the logarithm
+    of the longest chain, and no feed is gathered.
     """
-    order = file_order(files)
-    held = order.join(cut(file_schemas(rows)), "file_id").select("feed", "seq", "file_id", "field")
-    moved = changes(files, rows).where("change = 'renamed'").select("file_id", F.col("old_field").alias("from_field"), F.col("new_field").alias("field"))
-    tagged = held.join(moved, ["file_id", "field"], "left")
-
-    def follow(part: pd.DataFrame) -> pd.DataFrame:
-        name: dict[str, str] = {}
-        out = []
-        for _, file in part.sort_values("seq").groupby("seq", sort=True):
-            now = {f: name.get(f, f) if pd.isna(a) else name.get(a, a) for f, a in zip(file["field"], file["from_field"])}
-            name |= now
-            out.append(file.assign(name=[now[f] for f in file["field"]]))
-        return pd.concat(out)[["file_id", "feed", "field", "name"]]
-
-    return tagged.groupBy("feed").applyInPandas(follow, "file_id bigint, feed string, field string, name string")
+    into = c.moved.select("file_id", F.col("new_field").alias("field"), "old_field")
+    order = Window.partitionBy("feed", "field").orderBy("seq")
+    held = c.order.select("feed", "seq", "file_id", "before_id").join(c.schemas.select("file_id", "field"), "file_id").join(into, ["file_id", "field"], "left")
+    held = cut(held.withColumn("part", F.count("old_field").over(order)))
+    before = held.select(F.col("file_id").alias("before_id"), F.col("field").alias("old_field"), F.struct("feed", "field", "part").alias("parent"))
+    links = held.where("old_field is not null").join(before, ["before_id", "old_field"]).select(F.struct("feed", "field", "part").alias("child"), "parent")
+    links = cut(links)
+    while True:
+        nexts = links.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
+        further = cut(links.join(nexts, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("went")))
+        links = further.select("child", "parent")
+        if further.where("went").isEmpty():
+            break
+    named = held.withColumn("child", F.struct("feed", "field", "part")).join(links, "child", "left")
+    return named.select("file_id", "feed", "field", F.coalesce("parent.field", "field").alias("name"))
 
 
 def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
     """The one consistent lead table: each value under the lasting name of its field, in its typed branch and in canonical form."""
-    names = lineage(files, rows)
+    names = lineage(compared(files, rows))
     seen = entries(rows).where("kind is not null").withColumnRenamed("key", "field").join(names, ["file_id", "field"])
     text = as_text(F.col("value"), F.col("kind"))
     get = lambda of, to: F.when(F.col("kind") == of, F.try_variant_get("value", "$", to))
@@ -205,7 +230,8 @@ def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 def alternatives(files: DataFrame, rows: DataFrame) -> DataFrame:
     """The fused schema: each type of each lasting field, with the file in which it first appears and the number of its files."""
-    order = file_order(files).select("file_id", "seq")
-    typed = lineage(files, rows).join(file_schemas(rows), ["file_id", "field"]).join(order, "file_id")
+    c = compared(files, rows)
+    typed = lineage(c).join(c.schemas, ["file_id", "field"]).join(c.order.select("file_id", "seq"), "file_id")
     each = typed.select("feed", "name", "file_id", "seq", F.explode("kinds").alias("kind"))
-    return each.groupBy("feed", "name", "kind").agg(F.min_by("file_id", "seq").alias("first_file_id"), F.countDistinct("file_id").alias("n_files"))
+    # a field is in a file once, so counting rows counts files, unless two fields of a file share a lasting name
+    return each.groupBy("feed", "name", "kind").agg(F.min_by("file_id", "seq").alias("first_file_id"), F.count_distinct("file_id").alias("n_files"))

@@ -90,3 +90,10 @@ def test_consistent_table(spark):
 def test_equal_fields_are_renamed_together(spark):
     a, b = rows(a=NAME, b=NAME, c=lambda i: "x", d=lambda i: "x"), rows(x=NAME, y=NAME, v=lambda i: "x", w=lambda i: "x")
     assert found(spark, ("f", a), ("f", b)) == [(2, "renamed", "a", "x"), (2, "renamed", "b", "y"), (2, "renamed", "c", "v"), (2, "renamed", "d", "w")]
+
+
+def test_lasting_names_through_chains_and_returns(spark):
+    keys = ["a", "b", "c", "d", "a", "e"]  # a field may come back to an earlier name
+    files, data = frames(spark, [("f", rows(**{k: NAME})) for k in keys] + [("g", rows(b=NAME))])
+    got = schema_drift.lineage(schema_drift.compared(files, data)).collect()
+    assert sorted((r.file_id, r.field, r.name) for r in got) == [*((i, k, "a") for i, k in enumerate(keys, 1)), (7, "b", "b")]
