@@ -5,12 +5,18 @@ The prose of a document in typesetting markup is taken apart into whole paragrap
 formulas, bibliography, author names and quoted sentences left out). A paragraph's
 n-grams (1 to 3 letters within words) are ranked by frequency and compared with each
 language's profile by the out-of-place distance: the sum over its n-grams of how far
-the two ranks lie apart, at most the profile's length.
+the two ranks lie apart, at most the profile's length, which is also what an n-gram
+costs that the profile doesn't hold.
 
 The profiles start from a few built-in sentences and are fitted on a bounded sample of
 labelled documents (``sample_docs``, the smallest hashes of the document id), twice:
-first by label, then by the language just found, which outvotes wrong labels. All
-documents are classified, whole, and no step needs a shuffle.
+first by label, then by the language just found, which outvotes wrong labels. N-grams
+are counted by the executors; the driver receives the most frequent ones of each
+language. All documents are classified, whole, and no step needs a shuffle of texts.
+
+The seven languages of the corpus are fitted. Others have only their built-in sentences;
+they keep a text from passing for one of the seven, and win only where they are nearer
+by a margin. A text too little of which any profile knows is ``und``, in no language.
 
 Defined results: null, empty and blank texts and texts without prose have no
 segments; a paragraph with fewer than ``LEAST`` letters is none; ties go to the
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,10 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import cut
 from .bpe import chunks
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "ja")
+#: Languages that are told apart beside those of the corpus.
+OTHERS = ("nl", "pl", "sv", "ru", "ko", "zh")
+UNKNOWN = "und"
 LEAST = 12
 #: Names of the languages in labels.
 NAMES = {
@@ -49,6 +61,12 @@ SEEDS = {
     "pt": "Nesta seção mostramos que o método proposto dá a mesma ordem e que não depende do tamanho da amostra. Além disso, não há nenhuma razão para que isso seja válido em todos os caminhos. O valor é de cerca do mesmo, portanto o resto segue do que foi encontrado até uma constante.",
     "it": "In questa sezione mostriamo che il metodo proposto dà lo stesso ordine e che non dipende dalla dimensione del campione. Inoltre non c'è alcuna ragione per cui questo debba valere per ogni cammino. Il valore è di circa lo stesso, quindi il resto segue da quello che abbiamo trovato.",
     "ja": "本節では、提案した手法が同じ順序を与えることを示す。また、これは標本の大きさに依存しない。しかし、すべての経路について成り立つわけではない。値はおよそ同じであり、残りの部分はここから得られる。定数を除いてより小さい誤差が見られた。",
+    "nl": "In deze sectie laten we zien dat de voorgestelde methode dezelfde volgorde geeft en niet afhangt van de grootte van de steekproef. Bovendien is er geen reden waarom dit voor elk pad zou gelden. De waarde is ongeveer gelijk aan wat we eerder hebben gevonden, dus de rest volgt hieruit. Het is niet moeilijk om te zien dat een dergelijk resultaat ook voor grotere getallen geldt, hoewel het bewijs daarvan veel langer wordt. We geven eerst een kort overzicht van de begrippen die nodig zijn, en daarna een voorbeeld waarin het verschil tussen beide duidelijk wordt. Zoals wij in het vorige hoofdstuk hebben gezien, zijn er nog andere mogelijkheden die hier niet worden besproken.",
+    "pl": "W tej części pokazujemy, że proponowana metoda daje ten sam porządek i nie zależy od wielkości próby. Ponadto nie ma powodu, dla którego miałoby to zachodzić dla każdej ścieżki. Wartość jest mniej więcej taka sama jak poprzednio, więc reszta wynika z tego, co znaleźliśmy.",
+    "sv": "I detta avsnitt visar vi att den föreslagna metoden ger samma ordning och att den inte beror på urvalets storlek. Dessutom finns det ingen anledning till att detta skulle gälla för varje väg. Värdet är ungefär detsamma som tidigare, så resten följer av det som vi har funnit.",
+    "ru": "В этом разделе мы показываем, что предложенный метод даёт тот же порядок и не зависит от размера выборки. Кроме того, нет никакой причины, по которой это должно выполняться для каждого пути. Значение примерно такое же, как и раньше, поэтому остальное следует из того, что мы нашли.",
+    "ko": "이 절에서는 제안한 방법이 같은 순서를 주며 표본의 크기에 의존하지 않음을 보인다. 또한 이것이 모든 경로에 대해 성립할 이유는 없다. 값은 이전과 거의 같으므로 나머지는 우리가 찾은 것에서 따라 나온다. 그러나 이 결과는 더 작은 오차를 가진다.",
+    "zh": "在本节中，我们证明所提出的方法给出相同的顺序，并且不依赖于样本的大小。此外，没有理由认为这对每条路径都成立。该值与之前大致相同，因此其余部分可以从我们所得到的结果中推出。但是这个结论在一般情况下是不成立的，我们将在下面说明这一点。",
 }
 
 MARKS = {"'": "́", "`": "̀", "^": "̂", '"': "̈", "~": "̃", "c": "̧", "=": "̄", ".": "̇", "u": "̆", "v": "̌", "H": "̋", "r": "̊", "k": "̨", "b": "", "d": "̣"}
@@ -65,7 +83,7 @@ POINTER = re.compile(r"\\(?:[A-Za-z]*cite[A-Za-z]*|[A-Za-z]*ref|label|includegra
 ACCENT = re.compile(r"\\([\'`^\"~=.])\s*(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))|\\([cuvHrkbd])(?:\s*\{\\?([A-Za-z])\}|\s+([A-Za-z]))")
 LETTER = re.compile(r"\{?\\(ss|ae|AE|oe|OE|aa|AA|[oOlLij])(?![A-Za-z])\s*(?:\{\})?\}?")
 COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\.", re.S)
-WORD = re.compile(r"[぀-ヿ一-鿿々]|[^\W\d_぀-ヿ一-鿿々]+")
+WORD = re.compile(r"[぀-ヿ一-鿿々가-힣]|[^\W\d_぀-ヿ一-鿿々가-힣]+")
 
 
 def language_of_label(label: Column) -> Column:
@@ -157,49 +175,70 @@ def grams(word: str) -> Iterator[str]:
 class Profiles:
     """Rank-order profiles of the languages and the classification by them."""
 
-    def __init__(self, counts: dict[str, Counter], size: int = 400):
+    def __init__(self, counts: dict[str, Counter], size: int = 400, least_known: float = 0.2, margin: float = 0.03):
         tops = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]] for lang, c in counts.items()}
-        self.size, self.ids = size, {g: i for i, g in enumerate(sorted(set().union(*tops.values())))}
-        self.rank = np.full((len(LANGUAGES), len(self.ids)), size, dtype=np.int32)
-        for k, lang in enumerate(LANGUAGES):
-            for r, g in enumerate(tops.get(lang, [])):
+        self.size, self.least_known, self.margin = size, least_known, margin
+        self.names = [x for x in (*LANGUAGES, *OTHERS) if x in tops]
+        self.fitted = sum(x in LANGUAGES for x in self.names)
+        self.ids = {g: i for i, g in enumerate(sorted(set().union(*tops.values())))}
+        self.rank = np.full((len(self.names), len(self.ids) + 1), size, dtype=np.int32)  # the last one stands for n-grams of no profile
+        for k, lang in enumerate(self.names):
+            for r, g in enumerate(tops[lang]):
                 self.rank[k, self.ids[g]] = r
+        self.held = self.rank < size
         self.memo: dict[str, np.ndarray] = {}
 
     def word(self, w: str) -> np.ndarray:
+        """Numbers of a word's n-grams; those of no profile have numbers beyond, by their digest."""
         held = self.memo.get(w)
         if held is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            get = self.ids.get
-            held = self.memo[w] = np.array([i for g in grams(w) if (i := get(g)) is not None], dtype=np.int64)
+            get, over = self.ids.get, len(self.ids)
+            held = self.memo[w] = np.array([i if (i := get(g)) is not None else over + zlib.crc32(g.encode()) for g in grams(w)], dtype=np.int64)
         return held
 
+    def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text (columns) the mean distance to each profile (rows), the share of its n-grams in no profile of the corpus, and whether it has any."""
+        found = [[self.word(w) for w in WORD.findall(t.lower())] for t in texts]
+        sizes = [sum(map(len, f)) for f in found]
+        flat = np.concatenate([a for f in found for a in f] or [np.zeros(0, np.int64)])
+        cell, counts = np.unique((np.repeat(np.arange(len(texts), dtype=np.int64), sizes) << 33) | flat, return_counts=True)
+        row, gram = cell >> 33, cell & ((1 << 33) - 1)
+        # by text, then falling count, then n-gram
+        order = np.lexsort((gram, -counts, row))
+        row, gram = row[order], gram[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(texts)))[row]
+        use = place < self.size
+        row, gram, place = row[use], np.minimum(gram[use], len(self.ids)), place[use]
+        n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+        away = np.stack([np.bincount(row, np.where(h[gram], np.minimum(np.abs(r[gram] - place), self.size), self.size), minlength=len(texts)) for r, h in zip(self.rank, self.held)]) / (n * self.size)
+        foreign = np.bincount(row, ~self.held[: self.fitted].any(axis=0)[gram], minlength=len(texts)) / n
+        return away, foreign, np.bincount(row, minlength=len(texts)) > 0
+
     def classify(self, texts: list[str], block: int = 400) -> list[tuple[str, float, str]]:
-        """Language, confidence (how much nearer the nearest profile is than the next one) and the next language of each text."""
+        """Language, confidence and the next language of each text.
+
+        The confidence is how much nearer the nearest profile is than the next one, beside what n-grams
+        of no profile cost alike for all. ``und`` has the confidence 0.
+        """
         out: list[tuple[str, float, str]] = []
         for at in range(0, len(texts), block):
             part = texts[at : at + block]
-            found = [[self.word(w) for w in WORD.findall(t.lower())] for t in part]
-            sizes = [sum(map(len, f)) for f in found]
-            flat = np.concatenate([a for f in found for a in f] or [np.zeros(0, np.int64)])
-            g = len(self.ids)
-            counts = np.bincount(flat + np.repeat(np.arange(len(part), dtype=np.int64) * g, sizes), minlength=len(part) * g)
-            cell = np.flatnonzero(counts)
-            row, gram = cell // g, cell % g
-            # by text, then falling count, then n-gram
-            order = np.argsort((row << 44) | ((0xFFFFFF - np.minimum(counts[cell], 0xFFFFFF)) << 20) | gram, kind="stable")
-            row, gram = row[order], gram[order]
-            starts = np.searchsorted(row, np.arange(len(part)))
-            place = np.arange(len(row)) - starts[row]
-            use = place < self.size
-            row, gram, place = row[use], gram[use], place[use]
-            n = np.maximum(np.bincount(row, minlength=len(part)), 1)
-            away = np.stack([np.bincount(row, np.minimum(np.abs(r[gram] - place), self.size), minlength=len(part)) for r in self.rank]) / (n * self.size)
-            ranked = np.argsort(away, axis=0, kind="stable")
-            best, second = np.take_along_axis(away, ranked[:1], 0)[0], np.take_along_axis(away, ranked[1:2], 0)[0]
-            sure = np.where(second > 0, (second - best) / np.maximum(second, 1e-9), 0.0)
-            out += [(LANGUAGES[ranked[0, i]], round(float(sure[i]), 4), LANGUAGES[ranked[1, i]]) for i in range(len(part))]
+            away, foreign, some = self.distances(part)
+            main, other = away[: self.fitted], away[self.fitted :]
+            ranked = np.argsort(main, axis=0, kind="stable")
+            best, second = np.take_along_axis(main, ranked[:1], 0)[0], np.take_along_axis(main, ranked[1:2], 0)[0]
+            sure = np.where(second > foreign, (second - best) / np.maximum(second - foreign, 1e-9), 0.0)
+            beyond = other.min(axis=0) if len(other) else np.ones(len(part))
+            for i in range(len(part)):
+                a, b = self.names[ranked[0, i]], self.names[ranked[1, i]]
+                if beyond[i] < best[i] - self.margin:
+                    out.append((self.names[self.fitted + int(other[:, i].argmin())], round(float((best[i] - beyond[i]) / best[i]), 4), a))
+                elif not some[i] or 1 - best[i] < self.least_known * (1 - np.exp(-len(part[i]) / 100)):
+                    out.append((UNKNOWN, 0.0, a))
+                else:
+                    out.append((a, round(float(sure[i]), 4), b))
         return out
 
 
@@ -212,33 +251,58 @@ def count_grams(texts: list[str]) -> Counter:
     return out
 
 
-def fit(documents: DataFrame, sample_docs: int = 1500) -> Profiles:
-    """Profiles from the built-in sentences and at most ``sample_docs`` labelled documents."""
+def seeds() -> dict[str, Counter]:
+    return {lang: count_grams([t]) for lang, t in SEEDS.items()}
+
+
+def accepted(made: Profiles, label: str, parts: list[str], unsure: float = 0.15) -> list[str]:
+    """The paragraphs of a labelled document from which its language's profile is fitted: none if the label isn't the language of most of its text, else those that are not surely in another language."""
+    own = made.classify(parts)
+    sizes: Counter = Counter()
+    for (lang, *_), t in zip(own, parts):
+        sizes[lang] += len(t)
+    if not sizes or max(sizes, key=sizes.get) != label:
+        return []
+    return [t for (lang, sure, _), t in zip(own, parts) if lang == label or sure < unsure]
+
+
+def fit(documents: DataFrame, sample_docs: int = 1500, rounds: int = 2, size: int = 400) -> Profiles:
+    """Profiles from the built-in sentences and at most ``sample_docs`` labelled documents, whose n-grams the executors count."""
     labelled = documents.select("doc_id", language_of_label(F.col("lang")).alias("label")).where("label is not null and doc_id is not null")
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = documents.join(F.broadcast(chosen), "doc_id").where("text is not null").select("label", "text").collect()
-    return trained([(r.label, [words for _, words in prose(r.text)[1]]) for r in rows])
-
+    sample = cut(documents.where("text is not null").join(chosen, "doc_id").select("label", "text").repartition(32))
+    made = Profiles(seeds(), size)
+    for _ in range(rounds):
+        held = documents.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for b in chunks(batches, "text"):
+                counts: dict[str, Counter] = {}
+                for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
+                    counts.setdefault(label, Counter()).update(count_grams(accepted(held.value, label, [words for _, words in prose(text)[1]])))
+                rows = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+
+        start = documents.sparkSession.createDataFrame([(lang, g, n) for lang, c in seeds().items() if lang in LANGUAGES for g, n in c.items()], "lang string, gram string, n bigint")
+        total = sample.mapInArrow(run, "lang string, gram string, n bigint").unionAll(start).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+        tops = total.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size).collect()  # languages x size
+        counts = {lang: c for lang, c in seeds().items() if lang in OTHERS}
+        for r in tops:
+            counts.setdefault(r.lang, Counter())[r.gram] = r.n
+        made = Profiles(counts, size)
+    return made
 
-def trained(documents: list[tuple[str, list[str]]], rounds: int = 2, unsure: float = 0.15) -> Profiles:
-    """Profiles of documents given as (label, paragraphs).
 
-    A document whose label isn't the language of most of its text is left out, and of the
-    others each paragraph that is surely in another language.
-    """
-    made = Profiles({lang: count_grams([t]) for lang, t in SEEDS.items()})
+def trained(documents: list[tuple[str, list[str]]], rounds: int = 2) -> Profiles:
+    """Profiles of documents given as (label, paragraphs), like ``fit`` in one process."""
+    made = Profiles(seeds())
     for _ in range(rounds):
-        by: dict[str, list[str]] = {lang: [t] for lang, t in SEEDS.items()}
-        got = iter(made.classify([t for _, parts in documents for t in parts]))
+        counts = seeds()
         for label, parts in documents:
-            own = [next(got) for _ in parts]
-            sizes = Counter()
-            for (lang, *_), t in zip(own, parts):
-                sizes[lang] += len(t)
-            if sizes and max(sizes, key=sizes.get) == label:
-                by[label] += [t for (lang, sure, _), t in zip(own, parts) if lang == label or sure < unsure]
-        made = Profiles({lang: count_grams(t) for lang, t in by.items()})
-    made.memo.clear()
+            if label in LANGUAGES:
+                counts[label].update(count_grams(accepted(made, label, parts)))
+        made = Profiles(counts)
     return made
 
 
@@ -288,11 +352,11 @@ def segments(documents: DataFrame, profiles: Profiles) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
-def found(documents: DataFrame, profiles: Profiles) -> DataFrame:
-    """``doc_id, lang`` of documents whose label is missing or wrong or that hold paragraphs of several languages."""
+def found(documents: DataFrame, profiles: Profiles, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """``doc_id, lang`` of documents whose label is missing or wrong or that hold paragraphs of several languages; paragraphs in none of ``languages`` don't count."""
     label = documents.select("doc_id", language_of_label(F.col("lang")).alias("label"))
     held = segments(documents, profiles).groupBy("doc_id").agg(
-        F.max(F.when(F.col("kind") == "main", F.col("lang"))).alias("main"), F.collect_set(F.when(F.col("kind") != "main", F.col("lang"))).alias("langs")
+        F.max(F.when(F.col("kind") == "main", F.col("lang"))).alias("main"), F.collect_set(F.when((F.col("kind") != "main") & F.col("lang").isin(*languages), F.col("lang"))).alias("langs")
     )
     cases = held.join(label, "doc_id").where("label is null or label <> main or size(langs) > 1")
     return cases.select("doc_id", F.explode("langs").alias("lang"))

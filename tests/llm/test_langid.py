@@ -46,3 +46,31 @@ def test_found(spark, profiles):
     assert langid.segments(df, profiles).where("doc_id = 10").count() == 2001
     assert langid.found(df.limit(0), profiles).count() == 0
     assert langid.fit(df.limit(0)).classify([DE])[0][0] == "de"
+
+
+OTHER = {
+    "ru": "Мы рассматриваем задачу о распределении простых чисел в коротких интервалах и доказываем новую оценку.", "ko": "우리는 짧은 구간에서 소수의 분포에 관한 문제를 고려하고 새로운 추정을 증명한다.",
+    "zh": "我们研究短区间内素数分布的问题，并证明了一个新的估计。这一结果改进了以前的工作。", "nl": "Wij beschouwen het probleem van de verdeling van priemgetallen in korte intervallen en bewijzen een nieuwe schatting die beter is dan het vorige resultaat.",
+    "pl": "Rozważamy problem rozmieszczenia liczb pierwszych w krótkich przedziałach i dowodzimy nowego oszacowania.", "und": "Εξετάζουμε το πρόβλημα της κατανομής των πρώτων αριθμών σε σύντομα διαστήματα.",
+}
+
+
+def test_other_languages_are_not_taken_for_one_of_the_corpus():
+    made = langid.trained([])
+    for lang, text in OTHER.items():
+        assert made.classify([text])[0][0] == lang
+    assert made.classify([""]) == [("und", 0.0, "en")]
+
+
+def test_an_ngram_of_no_profile_costs_the_whole_penalty():
+    made = langid.trained([])
+    away, foreign, some = made.distances(["щщщ"])
+    assert away[: made.fitted].min() == 1.0 and foreign[0] == 1.0 and some[0]
+
+
+def test_fit_counts_in_the_executors_like_one_process(spark):
+    docs = [(i, f"\\begin{{document}}\\begin{{abstract}}{langid.SEEDS[lang]}\\end{{abstract}}\\end{{document}}", lang) for i, lang in enumerate(langid.LANGUAGES)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    one = langid.trained([(lang, [w for _, w in langid.prose(t)[1]]) for _, t, lang in docs])
+    many = langid.fit(df)
+    assert one.ids == many.ids and (one.rank == many.rank).all()
