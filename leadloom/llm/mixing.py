@@ -8,7 +8,9 @@ Block j of a source with weight w is released in slot floor(j / w) and due at
 ceil((j + 1) / w); earliest deadline first fills the slots, which keeps every source
 within one block of its share at every point. With weights written as a_s / H the
 schedule repeats every H slots, so only H slots are scheduled (on the driver, from
-the target table alone) and every block finds its slot by arithmetic.
+the target table alone) and every block finds its slot by arithmetic. Weights are never
+rounded: where H is beyond ``MOST`` slots, the slots of the whole mixture are scheduled,
+in blocks large enough that ``MOST`` slots hold it.
 
 Offsets are running sums in two steps, of buckets and within buckets, so that a
 source with a third of all documents is never sorted in one task.
@@ -31,13 +33,14 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .bpe import count_tokens
 
-PERIOD = 100_000
+#: The most slots that the driver schedules.
+MOST = 100_000
 SCHEMA = "slot bigint, source string, doc_id bigint, copy int, n_tokens bigint, source_offset bigint, target_share double, actual_share double"
 
 
-def slots(weights: dict[str, Fraction]) -> list[tuple[str, int]]:
-    """The (source, block) of each slot of one period; weights are multiples of 1 / period and sum to 1."""
-    period = lcm(*(w.denominator for w in weights.values()))
+def slots(weights: dict[str, Fraction], most: int = MOST) -> list[tuple[str, int]]:
+    """The (source, block) of each slot of one period, or of the first ``most`` slots; weights sum to 1."""
+    period = min(lcm(*(w.denominator for w in weights.values())), most)
     waiting = sorted((0, s, 0) for s in weights)
     ready: list[tuple[int, int, str, int]] = []
     out = []
@@ -54,21 +57,11 @@ def slots(weights: dict[str, Fraction]) -> list[tuple[str, int]]:
     return out
 
 
-def as_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, Fraction]:
-    """Shares as fractions that sum to 1: exact where the period stays under ``period``, else rounded to multiples of 1 / period by largest remainders."""
+def as_weights(shares: dict[str, float]) -> dict[str, Fraction]:
+    """Shares as exact fractions, as they are written, that sum to 1."""
     exact = {s: Fraction(repr(v)) for s, v in shares.items()}
     total = sum(exact.values())
-    exact = {s: v / total for s, v in exact.items()}
-    if lcm(*(v.denominator for v in exact.values())) <= period:
-        return exact
-    parts = {s: max(1, floor(v * period)) for s, v in exact.items()}
-    by = sorted(exact, key=lambda s: (floor(exact[s] * period) - exact[s] * period, s))
-    spare = period - sum(parts.values())
-    for s in (by * (abs(spare) // len(by) + 1))[: max(0, spare)]:
-        parts[s] += 1
-    while sum(parts.values()) > period:
-        parts[max(parts, key=parts.get)] -= 1
-    return {s: Fraction(n, period) for s, n in parts.items()}
+    return {s: v / total for s, v in exact.items()}
 
 
 def mix(
@@ -84,7 +77,7 @@ def mix(
     asked = {r.source: (r.share, r.most) for r in wanted.collect()}
     sized = cut(
         count_tokens(documents.join(F.broadcast(wanted.select("source")), "source", "left_semi"), **tokenizer).where("n_tokens > 0")
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("n_tokens")), F.lit(buckets)).cast("int"))
     )
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size"))
     held = {r.source: r.size for r in per_bucket.groupBy("source").agg(F.sum("size").alias("size")).collect()}
@@ -92,10 +85,15 @@ def mix(
         return spark.createDataFrame([], SCHEMA)
     weights = as_weights({s: asked[s][0] for s in held})
     total = total_tokens or floor(min(held[s] * asked[s][1] / weights[s] for s in held))
-    plan = slots(weights)
-    period = len(plan)
+    period = lcm(*(w.denominator for w in weights.values()))
+    if period > MOST:  # one stretch of slots for the whole mixture: each source has all its blocks in it, and a document may lie across the end
+        longest = total + max(held.values())
+        block_tokens = max(block_tokens, -(-longest // (MOST - len(weights))))
+        period = -(-longest // block_tokens) + len(weights)
+    plan = slots(weights, period)
+    per = {s: sum(x == s for x, _ in plan) for s in held}
     dim = spark.createDataFrame(
-        [(s, float(asked[s][0]), int(weights[s] * period), held[s], min(floor(total * weights[s]), held[s] * asked[s][1])) for s in held],
+        [(s, float(asked[s][0]), per[s], held[s], min(floor(total * weights[s]), held[s] * asked[s][1])) for s in held],
         "source string, target_share double, per_period bigint, held bigint, quota bigint",
     )
     where = spark.createDataFrame([(s, j, at) for at, (s, j) in enumerate(plan)], "source string, in_period bigint, at bigint")

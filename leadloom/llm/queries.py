@@ -47,7 +47,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads beyond the 15 best of a contributor in a run."""
     leads = table(spark, sf_dir, "leads")
     who = capping.host_of(F.col("domain"), F.col("url"))
-    rows = leads.select(F.col("run_id").alias("grp"), who.alias("who"), F.col("lead_score").alias("score"), F.col("lead_id").alias("id"))
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("lead_score", F.lit(0))))
+    rows = leads.select(F.col("run_id").alias("grp"), who.alias("who"), score.alias("score"), F.col("lead_id").alias("id"))
     return capping.over_cap(rows, max_count=15).select(F.col("id").alias("lead_id"))
 
 
