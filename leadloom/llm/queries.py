@@ -58,9 +58,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of the names and the city of every lead."""
+    """The consistent form of the names and the city of every lead, and their look, in which equal looks are equal strings."""
     columns = ["display_name", "store_name", "city"]
-    return lookalike.consistent(table(spark, sf_dir, "leads"), "lead_id", columns).select("lead_id", *columns)
+    return lookalike.consistent(table(spark, sf_dir, "leads"), "lead_id", columns).drop("raw")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every lead that looks like another one, with the number of its links."""
+    return lookalike.alike_classes(table(spark, sf_dir, "leads"), "lead_id", ["display_name", "store_name", "city"]).drop("raw")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +96,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [p2_found, p2_records, p3_found, p3_places, p4_found, p4_restored, p5_found, p6_found, p6_forms, p7_ids, p8_mix, p8_shares, p9_found, p9_segments]
+    made = [p2_found, p2_records, p3_found, p3_places, p4_found, p4_restored, p5_found, p6_found, p6_forms, p6_classes, p7_ids, p8_mix, p8_shares, p9_found, p9_segments]
     return {f.__name__: f for f in made}
 
 
