@@ -134,19 +134,19 @@ def changing(changed: dict[str, str]) -> str:
 
 
 def forms(texts: DataFrame) -> DataFrame:
-    """``text``, ``form`` and ``look`` of each distinct text that may change; ``texts`` has one column ``text``."""
+    """``digest``, ``form`` and ``look`` of each distinct text that may change; ``texts`` has the columns ``digest`` (of the text, which stands for it, as each code point becomes a row) and ``text``."""
     spark = texts.sparkSession
     safe, look = points(), looks(spark)
     rows = [(ch, safe.get(ch, ch), look.get(ch, ch)) for ch in safe.keys() | look.keys()]
     to = F.broadcast(spark.createDataFrame(rows, "ch string, form string, look string"))
     classes = F.broadcast(spark.createDataFrame([(chr(n), unicodedata.combining(chr(n))) for n in range(sys.maxunicode + 1) if unicodedata.combining(chr(n))], "ch string, ccc int"))
     whole = spark.createDataFrame(list(compositions(safe).items()), "cluster_text string, composed string")
-    exploded = texts.distinct().repartition("text").select("text", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    exploded = texts.dropDuplicates(["digest"]).repartition("digest").select("digest", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     both = F.array(F.struct(F.lit(False).alias("looks"), F.coalesce("form", "ch").alias("parts")), F.struct(F.lit(True).alias("looks"), F.coalesce("look", "ch").alias("parts")))
-    mapped = exploded.join(to, "ch", "left").select("text", "pos", F.inline(both)).select("text", "looks", "pos", F.posexplode(F.split("parts", "")).alias("sub", "ch")).where("ch <> ''")
+    mapped = exploded.join(to, "ch", "left").select("digest", "pos", F.inline(both)).select("digest", "looks", "pos", F.posexplode(F.split("parts", "")).alias("sub", "ch")).where("ch <> ''")
     classed = mapped.join(classes, "ch", "left").fillna({"ccc": 0})
-    order = Window.partitionBy("text", "looks").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clusters = classed.withColumn("cluster", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order)).groupBy("text", "looks", "cluster").agg(
+    order = Window.partitionBy("digest", "looks").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clusters = classed.withColumn("cluster", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order)).groupBy("digest", "looks", "cluster").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "ch"))), lambda x: x["ch"]).alias("chars")
     )
     clusters = clusters.withColumn("cluster_text", F.array_join("chars", "")).withColumn("head", F.when(F.size("chars") > 2, F.array_join(F.slice("chars", 1, 2), "")))
@@ -154,8 +154,8 @@ def forms(texts: DataFrame) -> DataFrame:
     composed = clusters.join(F.broadcast(whole), "cluster_text", "left").join(F.broadcast(heads), "head", "left")
     best = F.coalesce("composed", F.concat("head_composed", F.array_join(F.expr("slice(chars, 3, size(chars))"), "")), "cluster_text")
     of = lambda looks, name: F.trim(F.array_join(F.transform(F.filter("parts", lambda x: x["looks"] == F.lit(looks)), lambda x: x["part"]), "")).alias(name)
-    rebuilt = composed.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("looks", "cluster", best.alias("part")))).alias("parts"))
-    return rebuilt.select("text", of(False, "form"), of(True, "look"))
+    rebuilt = composed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("looks", "cluster", best.alias("part")))).alias("parts"))
+    return rebuilt.select("digest", of(False, "form"), of(True, "look"))
 
 
 def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -169,10 +169,10 @@ def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     marked = rows.select(F.col(key), raw.alias("raw"), *columns, moving.alias("moving"))
     still = marked.where(~F.col("moving")).select(key, "raw", *columns, *[F.col(c).alias(f"{c}_look") for c in columns])
     each = marked.where("moving").select(key, "raw", F.posexplode(F.array(*columns)).alias("at", "text"))
-    needed = each.where(F.col("text").rlike(pattern))
-    made = cut(forms(needed.select("text")))
+    needed = each.where(F.col("text").rlike(pattern)).withColumn("digest", F.unhex(F.md5("text")))
+    made = cut(forms(needed.select("digest", "text")))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    changed = needed.join(made, "text", "left").select(key, "raw", "at", blank("form"), blank("look"))
+    changed = needed.drop("text").join(made, "digest", "left").select(key, "raw", "at", blank("form"), blank("look"))
     kept = each.where(F.coalesce(~F.col("text").rlike(pattern), F.lit(True))).select(key, "raw", "at", F.col("text").alias("form"), F.col("text").alias("look"))
     # repeated rows give repeated values; they come back as one row with their number
     at = lambda of, name: [F.max(F.when(F.col("at") == i, F.col(of))).alias(name(c)) for i, c in enumerate(columns)]
