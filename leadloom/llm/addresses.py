@@ -12,6 +12,13 @@ A town that isn't made of known elements is mended where exactly one of the usua
 (a doubled or swapped letter, a left-out or mistaken one) leads to a town that is; an
 existing town is never changed into a similar one.
 
+The dictionaries stated here are those of one region. Names beyond them are kept as they
+are spelled, and their other writings are learnt from the pages: where a page gives one
+house in two writings (equal numbers in its two fields), or where addresses give equal
+numbers with one postal code, the names before the numbers are spellings of one town,
+and the one with the most such evidence becomes the town's name for all pages (``learnt``). So a town that no dictionary holds is still found
+under its Latin and its mistaken spellings.
+
 Defined results: null and blank fields and text without a town and numbers are no
 address; a page pairs with no copy of its own id; pages with equal fields pair like
 any others.
@@ -111,6 +118,12 @@ KIND = "|".join(sorted(KINDS, key=len, reverse=True))
 NAMED = re.compile(rf"([ァ-ヴー]{{2,10}}?|[a-z][a-z-]{{2,12}}?)[ -]*({KIND})(?![a-zァ-ヴ])", re.I)
 
 
+def postal_of(address: str) -> str | None:
+    """The seven digits of the postal code of an address."""
+    m = POSTAL.search(unicodedata.normalize("NFKC", address))
+    return re.sub(r"\D", "", m[0]) if m else None
+
+
 def building_of(text: str) -> str | None:
     """Canonical building of a text: name without long-vowel marks or in its Latin spelling, and kind."""
     if not (m := NAMED.search(text.lower())):
@@ -175,9 +188,11 @@ def parse(address: str | None) -> tuple[tuple[str, ...], str, str | None, str |
             town = town_at_end(text[: m.start()]) or other_town(text[: m.start()])
             if town:
                 towns = (town,)
-                before = re.sub(r"\s+", "", text[: m.start()]).translate(VARIANTS)[: -len(town)]
+                before = re.sub(r"\s+", "", text[: m.start()]).translate(VARIANTS)[: -len(town.lstrip("?"))]
                 ward = next((w for w in WARDS if w in before), None)
                 city = next((c for c in CITIES if c in before), None) or (WARDS[ward][1] if ward else None)
+                if town.startswith("?") and not ward and not city:  # another region: areas as they are written
+                    ward, city = ((m2[1] if (m2 := re.search(f"([^都道府県市区郡]{{1,6}}){kind}", before)) else None) for kind in "区市")
                 break
     else:
         low = text.lower()
@@ -206,11 +221,13 @@ def parse(address: str | None) -> tuple[tuple[str, ...], str, str | None, str |
 
 def other_town(text: str) -> str | None:
     """The name before the numbers, for towns made of other elements."""
-    m = re.search(r"([^\s\d市区郡県、。,()（）:：]{1,8})\s*$", text.translate(VARIANTS))
-    return "?" + m[1] if m and re.search("[一-鿿ぁ-ヿ]", m[1]) else None
+    m = re.search(r"([^\s\d、。,()（）:：]+)\s*$", text.translate(VARIANTS))
+    # after the last area that something follows: 青白市南鹿市 is the town 南鹿市
+    name = re.sub("^.*[都道府県市区郡](?=.)", "", m[1])[-8:] if m else ""
+    return "?" + name if re.search("[一-鿿ぁ-ヿ]", name) and not re.fullmatch("[都道府県市区郡]", name) else None
 
 
-SCHEMA = "page_id bigint, town string, choices int, block string, house string, building string, ward string, city string, spelling string"
+SCHEMA = "page_id bigint, town string, choices int, block string, house string, building string, ward string, city string, spelling string, postal string"
 
 
 def places(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -225,15 +242,38 @@ def places(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 for i, address in zip(ids, b.column(f).to_pylist()):
                     if i is not None and (got := parse(address)):
                         towns, spelling = (got[0][:-1], got[0][-1]) if len(got[0]) > 1 else (got[0], None)
-                        rows += [(i, town, len(towns), *got[1:], spelling) for town in towns]
-            types = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 6]
+                        rows += [(i, town, len(towns), *got[1:], spelling, postal_of(address)) for town in towns]
+            types = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return pages.select(key, *fields).mapInArrow(run, SCHEMA)
 
 
+def learnt(each: DataFrame, least_share: float = 0.6) -> DataFrame:
+    """``spelling, name``: for town names beyond the dictionaries the name that the same house has on the same pages in another writing.
+
+    The name is in the dictionaries or in ideographs; it has at least ``least_share`` of the spelling's
+    evidence, and, if it is itself beyond the dictionaries, more pages than an ideographic spelling.
+    """
+    sure = each.where("house is not null and choices = 1 and spelling is null").select("page_id", "town", "block", "house", "postal").distinct()
+    odd, plain = F.col("town").startswith("?"), F.col("name").rlike(r"^\?[a-z]+$")
+    support = sure.groupBy("town").agg(F.count("*").alias("n"))
+    # names of one house by its postal code are few; they are counted before they meet
+    by_code = sure.where("postal is not null").groupBy("postal", "block", "house", "town").agg(F.count("*").alias("n"))
+    pair = lambda rows, by, n: (
+        rows.where(odd).withColumnRenamed("town", "spelling").drop("n").join(rows.withColumnRenamed("town", "name").where(~plain), by).where("spelling <> name").select("spelling", "name", n.alias("n"))
+    )
+    seen = pair(sure.drop("postal").distinct(), ["page_id", "block", "house"], F.lit(1)).unionAll(pair(by_code, ["postal", "block", "house"], F.col("n"))).groupBy("spelling", "name").agg(F.sum("n").alias("n"))
+    total = Window.partitionBy("spelling")
+    best = seen.withColumn("all", F.sum("n").over(total)).withColumn("place", F.row_number().over(total.orderBy(F.desc("n"), "name"))).where("place = 1")
+    best = best.where(F.col("n") >= least_share * F.col("all")).select("spelling", "name")
+    sizes = best.join(support.select(F.col("town").alias("spelling"), F.col("n").alias("n_spelling")), "spelling").join(support.select(F.col("town").alias("name"), F.col("n").alias("n_name")), "name")
+    latin = F.col("spelling").rlike(r"^\?[a-z]+$")
+    return sizes.where(latin | ~F.col("name").startswith("?") | (F.col("n_name") > F.col("n_spelling"))).select("spelling", "name")
+
+
 def located(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``page_id, place, area``: the places of each page.
+    """``page_id, place, area``: the places of each page that shares one with another page.
 
     Rules for missing components: an address without house number, but with a building, lies
     at the one house of its block at which that building is known, else at the building
@@ -242,7 +282,11 @@ def located(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
     area; if its numbers are known in none, in a town of its own spelling; area as
     described above.
     """
-    each = cut(places(pages, key, fields).distinct())
+    found = cut(places(pages, key, fields).distinct())
+    # names beyond the dictionaries are few: the others never meet this join
+    odd = F.col("town").startswith("?") & (F.col("choices") == 1) & F.col("spelling").isNull()
+    names = learnt(found).withColumnRenamed("spelling", "town")
+    each = cut(found.where(~odd).unionByName(found.where(odd).join(names, "town", "left").withColumn("town", F.coalesce("name", "town")).drop("name")).drop("postal").distinct())
     built = each.where("house is not null and building is not null and choices = 1").groupBy("town", "block", "building")
     houses = built.agg(F.min("house").alias("at"), F.max("house").alias("last")).where("at = last").drop("last")
     # the place by the spelling of a doubtful town
@@ -261,14 +305,21 @@ def located(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
     alone = doubt.join(chosen.select("page_id", "address").distinct(), ["page_id", "address"], "left_anti").select("page_id", F.col("own").alias("place"), "ward", "city")
     all_of = sure.unionAll(chosen.drop("address")).unionAll(alone).distinct()
     known = all_of.groupBy("place").agg(
-        F.count_distinct("ward").alias("wards"), F.count_distinct("city").alias("cities"), F.min("page_id").alias("low"), F.max("page_id").alias("high")
+        F.coalesce(F.min("ward") == F.max("ward"), F.lit(True)).alias("one_ward"), F.coalesce(F.min("city") == F.max("city"), F.lit(True)).alias("one_city"), F.min("page_id").alias("low"), F.max("page_id").alias("high")
     ).where("low < high")
     joined = all_of.join(known, "place")
     # one area at most: what is missing agrees; several: each stands for itself
-    area = F.when((F.col("wards") <= 1) & (F.col("cities") <= 1), F.lit("")).otherwise(F.coalesce("ward", "city", F.lit("-")))
+    area = F.when(F.col("one_ward") & F.col("one_city"), F.lit("")).otherwise(F.concat_ws("/", F.coalesce("city", F.lit("-")), F.coalesce("ward", F.lit("-"))))
     return joined.select("page_id", "place", area.alias("area")).distinct()
 
 
+def place_classes(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``page_id, place, area, first_page_id, n_pages``: the membership of pages in places, with each place's smallest page and number of pages."""
+    at = located(pages, key, fields)
+    by = at.groupBy("place", "area").agg(F.min("page_id").alias("first_page_id"), F.count("*").alias("n_pages"))
+    return at.join(by, ["place", "area"]).select("page_id", "place", "area", "first_page_id", "n_pages")
+
+
 def same_place(pages: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Pairs of pages of which any address of one is the place of any address of the other."""
     at = located(pages, key, fields)

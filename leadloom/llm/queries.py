@@ -29,8 +29,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every page that shares one with another page."""
-    return addresses.located(table(spark, sf_dir, "city_pages"), "page_id", ["address", "contact_page_address"])
+    """The place of every page that shares one with another page, with the place's first page and its number of pages."""
+    return addresses.place_classes(table(spark, sf_dir, "city_pages"), "page_id", ["address", "contact_page_address"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,19 @@ def test_unknown_latin_towns(spark):
     data = [(1, "Higashi-Qwertz 6-71-1, Nagasato-shi", None), (2, "6-chome 71-1 higashiqwertz, nagasato city, Japan", None), (3, "Higashi-Qwertz 6-71-2, Nagasato-shi", None), (4, "Nishi-Qwertz 6-71-1, Nagasato-shi", None)]
     assert pairs(spark, data) == [(1, 2)]
     assert addresses.parse("Tel 03-1234-5678") is None and addresses.parse("Updated 2024-05-01") is None
+
+
+def test_towns_beyond_the_dictionaries(spark):
+    """Real addresses, of which no name is in the dictionaries; other writings are learnt from the pages."""
+    assert addresses.parse("福岡市中央区天神1-2-3")[0] == ("?天神",) and addresses.parse("福岡市中央区天神1-2-3")[4:] == ("中央", "福岡")
+    assert addresses.parse("1-2-3 Tenjin, Chuo-ku, Fukuoka")[0] == ("?tenjin",)
+    assert addresses.parse("1-9-1 Marunouchi, Chiyoda-ku, Tokyo")[0] == ("?marunouchi",)
+    data = [
+        (1, "福岡市中央区天神1-2-3", "1-2-3 Tenjin, Chuo-ku, Fukuoka"), (2, "1-2-3 Tenjin, Chuo-ku", None), (3, "1-2-4 Tenjin", None), (4, "〒810-0001 福岡市中央区天神1丁目2番4号", None),
+        (5, "〒100-0005 東京都千代田区丸の内1-9-1", None), (6, "1-9-1 Marunouchi, Chiyoda-ku 100-0005", None), (7, "Marunouchi 1-9-1", None), (8, "大阪市中央区天神1-2-3", None),
+    ]
+    df = spark.createDataFrame(data, "page_id bigint, a string, b string")
+    got = {tuple(r) for r in addresses.same_place(df, "page_id", ["a", "b"]).collect()}
+    assert {(3, 4), (5, 6), (5, 7), (6, 7)} <= got and not {(1, 3), (1, 8), (1, 4)} & got
+    classes = addresses.place_classes(df, "page_id", ["a", "b"]).collect()
+    assert {(r.first_page_id, r.n_pages) for r in classes if r.page_id in (5, 6, 7)} == {(5, 3)}
