@@ -115,7 +115,7 @@ def clean_domain(value: Column) -> Column:
 
 def first_domain(*values: Column) -> Column:
     """First usable domain among several fields; links like tel: or mailto: are none."""
-    usable = [F.when(~F.lower(strip(v)).rlike(r"^(tel|mailto|line|sms|javascript|data):") & (clean_domain(v) != ""), clean_domain(v)) for v in values]
+    usable = [F.when(~F.lower(strip(v)).rlike(r"^(tel|mailto|line|sms|javascript|data):"), let(clean_domain(v), lambda d: F.when(d != "", d))) for v in values]
     return F.coalesce(*usable, F.lit(""))
 
 
@@ -238,8 +238,7 @@ DOMAIN = r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[
 
 def strict_domain(value: Column) -> Column:
     """A bare domain like ``clean_domain``, but only if all its labels are well formed; else ''."""
-    d = clean_domain(value)
-    return F.when(d.rlike(DOMAIN), d).otherwise("")
+    return let(clean_domain(value), lambda d: F.when(d.rlike(DOMAIN), d).otherwise(""))
 
 
 def same_host(a: Column, b: Column) -> Column:

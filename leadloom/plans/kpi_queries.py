@@ -172,12 +172,6 @@ def page_reader(spark: SparkSession, d: str) -> DataFrame:
     return read.select("page_id", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"), "links")
 
 
-@query("""SELECT doc_id, list_distinct_in_order AS emails FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), lambda x: NOT ends_with(x, '.png')) AS list_distinct_in_order FROM documents) WHERE len(list_distinct_in_order) > 0""")
-def document_emails(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").select("doc_id", html.emails(F.coalesce("text", F.lit(""))).alias("emails"))
-    return found.where(F.size("emails") > 0)
-
-
 @query()
 def display_names(spark: SparkSession, d: str) -> DataFrame:
     best = names.best_name(F.col("original_title"), F.col("domain"))

@@ -16,6 +16,9 @@ QS = r"regexp_extract({u}, '^[^?#]*\?([^#]*)', 1)"
 TRIM = r"regexp_replace({u}, '^[\s\x{{3000}}]+|[\s\x{{3000}}]+$', '', 'g')"
 
 
+ONE_SPACE = r"trim(regexp_replace({u}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
 def quoted(words: list[str]) -> str:
     return ", ".join("'" + w + "'" for w in words)
 
@@ -55,11 +58,14 @@ def url_variants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(rf"""
+SHEET = rf"""
 WITH a AS (SELECT line_id, url, {U} AS t FROM lead_lines), b AS (SELECT line_id, url, split_part(CASE WHEN regexp_matches(t, '^https?://') THEN t WHEN starts_with(t, '//') THEN 'https:' || t ELSE 'https://' || t END, '#', 1) AS u FROM a),
 c AS (SELECT *, {PATH.format(u='u')} AS p, array_to_string(list_filter(string_split({QS.format(u='u')}, '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid') AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_')), '&') AS q FROM b)
 SELECT line_id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE regexp_extract(u, '^(https?)://', 1) || '://' || {NET.format(u='u')} || CASE WHEN p = '/' THEN '/' ELSE regexp_replace(p, '/+$', '') END || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_sheet FROM c
-""")
+"""
+
+
+@query(SHEET)
 def url_sheet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lead_lines").select("line_id", urls.normalize_sheet(F.col("url")).alias("url_sheet"))
 

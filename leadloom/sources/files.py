@@ -35,7 +35,7 @@ def listed(spark: SparkSession, path: str) -> list[str]:
             inside = file.toString()[len(status.getPath().toString()) :].split("/")
             if not any(x.startswith(("_", ".")) for x in inside):
                 out.append(file.toString())
-        if found is None:
+        if found is None and not status.getPath().getName().startswith(("_", ".")):
             out.append(status.getPath().toString())
     return sorted(set(out))
 
