@@ -67,6 +67,12 @@ def patched(rules: Sequence[Rule], added: Sequence[Rule]) -> list[Rule]:
     return out
 
 
+def reverted(rules: Sequence[Rule], added: Sequence[Rule], before: Sequence[Rule]) -> list[Rule]:
+    """A patched rule set without what the patch added; rules that were there before stay."""
+    known, gone = {r.pattern for r in before}, {r.pattern for r in added}
+    return [r for r in rules if r.pattern in known or r.pattern not in gone]
+
+
 def contains_any(text: Column, words: Sequence[str], ignore_case: bool = True) -> Column:
     """Whether a text holds one of the words; false for null and for no words."""
     low = F.lower(text) if ignore_case else text

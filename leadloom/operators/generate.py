@@ -50,6 +50,27 @@ def allowed(query: Column, negatives: Sequence[str], required: Sequence[Sequence
     return out
 
 
+def passes(pairs_df: DataFrame, hits: DataFrame, key: Sequence[str], least: int, limits: Sequence[int], most: int | None = None) -> DataFrame:
+    """Which pass still asks for each pair: ``..., pass, n_queries``, out of recorded ``hits`` with their ``pass``.
+
+    Pass p (from 1) is due for a pair with fewer than ``least`` different addresses from the passes before it, and asks at
+    most ``limits[p - 1]`` queries; with ``most``, later ones in the order of pass and pair are dropped beyond that many queries.
+    """
+    n = len(limits)
+    seen = hits.groupBy(*key, "url").agg(F.min("pass").alias("first")).groupBy(*key).agg(*[F.count_if(F.col("first") < p).alias(f"_before_{p}") for p in range(1, n + 1)])
+    due = F.array(*[F.when(F.coalesce(F.col(f"_before_{p}"), F.lit(0)) < least, F.struct(F.lit(p).alias("pass"), F.lit(limits[p - 1]).alias("n_queries"))) for p in range(1, n + 1)])
+    out = pairs_df.join(seen, list(key), "left").select(*pairs_df.columns, F.inline(F.array_compact(due)))
+    if most is None:
+        return out
+    from .rank import positions
+
+    ordered = positions(out, [F.col("pass"), *map(F.col, key)], "_at")
+    # queries before a pair: those of whole passes and those of its own pass, all of one size
+    per = ordered.groupBy("pass").agg(F.sum("n_queries").alias("_all"), F.min("_at").alias("_low"))
+    base = per.select("pass", "_low", (F.sum("_all").over(Window.orderBy("pass")) - F.col("_all")).alias("_base"))  # one row for each pass
+    return ordered.join(base, "pass").where(F.col("_base") + (F.col("_at") - F.col("_low") + 1) * F.col("n_queries") <= most).select(*out.columns)
+
+
 def starved(pairs_df: DataFrame, hits: DataFrame, key: Sequence[str], least: int) -> DataFrame:
     """Pairs with fewer than ``least`` different hits, for the next pass, with their number."""
     n = hits.groupBy(*key).agg(F.count_distinct("url").alias("n_urls"))

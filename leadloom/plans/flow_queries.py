@@ -365,3 +365,34 @@ def listed_domains(spark: SparkSession, d: str) -> DataFrame:
     """The longest listed domain above each page."""
     listed = table(spark, d, "site_names").where("name_confidence = 'high' and domain is not null").select(F.col("domain").alias("dom"))
     return joins.marked_by_suffix(table(spark, d, "city_pages").where("url is not null"), "page_id", urls.domain_key(F.col("url")), listed, "dom")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT city, business_type FROM leads WHERE city IS NOT NULL AND business_type IS NOT NULL), f AS (SELECT city, business_type, url, min(CASE url_status WHEN 'OK' THEN 1 WHEN 'BLOCKED' THEN 2 ELSE 3 END) AS first FROM leads WHERE url_status <> 'OK' OR lead_score > 60 GROUP BY 1, 2, 3),
+n AS (SELECT city, business_type, count(*) FILTER (WHERE first < 2) AS b2, count(*) FILTER (WHERE first < 3) AS b3 FROM f GROUP BY 1, 2),
+d AS (SELECT p.city, p.business_type, 1 AS pass, 15 AS n_queries FROM p UNION ALL SELECT p.city, p.business_type, 2, 10 FROM p LEFT JOIN n ON p.city = n.city AND p.business_type = n.business_type WHERE coalesce(b2, 0) < 2 UNION ALL SELECT p.city, p.business_type, 3, 6 FROM p LEFT JOIN n ON p.city = n.city AND p.business_type = n.business_type WHERE coalesce(b3, 0) < 2),
+o AS (SELECT *, sum(n_queries) OVER (ORDER BY pass, city, business_type) AS upto FROM d)
+SELECT city, business_type, pass, n_queries FROM o WHERE upto <= 9000
+""")
+def query_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Passes that are still due for each pair, within a budget of queries."""
+    from ..operators.generate import passes
+
+    leads = table(spark, d, "leads")
+    pairs = leads.where("city is not null and business_type is not null").select("city", "business_type").distinct()
+    hits = leads.where("url_status <> 'OK' or lead_score > 60").select("city", "business_type", "url", F.when(F.col("url_status") == "OK", 1).when(F.col("url_status") == "BLOCKED", 2).otherwise(3).alias("pass"))
+    return passes(pairs, hits, ["city", "business_type"], 2, [15, 10, 6], most=9000)
+
+
+REGION = KEYED.replace("c.final_url", "l.url")
+
+
+@query(rf"""
+WITH c AS (SELECT url, max(http_status) AS http_status FROM leads WHERE url IS NOT NULL GROUP BY url),
+j AS (SELECT l.lead_id, coalesce(l.lead_score, 0) AS s, coalesce(l.sales_label, '') AS label, {REGION} AS dom FROM leads l JOIN c ON l.url = c.url WHERE {ALIVE}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dom ORDER BY s DESC, lead_id) AS n FROM j WHERE dom <> '') WHERE n = 1)
+SELECT lead_id, dom AS domain, row_number() OVER (ORDER BY CASE label WHEN '○' THEN 2 WHEN '△' THEN 1 ELSE 0 END DESC, s DESC, lead_id) AS position FROM b
+""")
+def region_leads(spark: SparkSession, d: str) -> DataFrame:
+    """A region's run from collected leads to its list: liveness by address, live ones, the best of each domain, presentation order."""
+    return flows.region_run(*checked(table(spark, d, "leads")), table(spark, d, "leads").select(F.col("lead_id").alias("seq"), F.coalesce("sales_label", F.lit("")).alias("label"))).select(F.col("seq").alias("lead_id"), "domain", "position")

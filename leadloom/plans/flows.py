@@ -76,6 +76,13 @@ def validation_totals(leads: DataFrame, checks: DataFrame, file: str) -> DataFra
     return both.unionByName(total.withColumn(file, F.lit(None).cast(dict(both.dtypes)[file])))
 
 
+def region_run(leads: DataFrame, checks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The list of a region: live leads (as in ``validated``), the best of each domain over all, in order of ``label`` (``labels`` by ``seq``), score and appearance, with ``position``."""
+    own = validated(leads.withColumn("_one", F.lit(1)), checks, "_one").drop("_one").join(labels, "seq")
+    listed = own.withColumn("domain", urls.domain_key(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url"))))
+    return rank.positions(listed, [rank.label_order(F.col("label")).desc(), F.desc("score"), F.col("seq")])
+
+
 def carried_ids(collected: DataFrame, existing: DataFrame, least: int = 40, start: int = 3000, width: int = 5) -> DataFrame:
     """The best row of each address with its identifier: the one it had, else a new number after the largest, in order of score and first appearance.
 

@@ -176,6 +176,31 @@ def read_many(spark: SparkSession, paths: Sequence[str], delimiter: str = ",") -
     return out.withColumn("_file", bare(F.col(FILE))).join(place, "_file", "left").drop("_file", FILE)
 
 
+def read_manifest(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The different values of a column of a tab-separated manifest, which is kept by hand, in order."""
+    held = read_csv(spark, path, [column], delimiter="\t")
+    return list(dict.fromkeys(v for (v,) in held.select(column).collect() if v and v.strip()))
+
+
+def newest(spark: SparkSession, pattern: str, k: int) -> list[str]:
+    """The last ``k`` files of a pattern by name, the newest first, as names carry their time."""
+    return sorted(listed(spark, pattern), key=lambda f: (f.rsplit("/", 1)[-1], f), reverse=True)[:k]
+
+
+def existing(spark: SparkSession, named: Sequence[str], more: str | None = None) -> tuple[list[str], list[str]]:
+    """(inputs that exist, those that are missing) of named ones and of a list file, each once, in order."""
+    every = [*named, *([r.value for r in read_lines(spark, more).collect()] if more and listed(spark, more) else [])]
+    every = list(dict.fromkeys(x for x in every if x.strip()))
+    held = [x for x in every if listed(spark, x)]
+    return held, [x for x in every if x not in held]
+
+
+def dimension(spark: SparkSession, groups: dict[str, Sequence[str]], group: str, member: str) -> DataFrame:
+    """A dimension table ``group, member, ord`` of named lists, such as categories of businesses or cities of prefectures."""
+    rows = [(g, m, i) for g, ms in groups.items() for i, m in enumerate(ms)]
+    return spark.createDataFrame(rows, f"`{group}` string, `{member}` string, ord int")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a list without blank ones and comments: ``value``."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("value"))
