@@ -133,8 +133,8 @@ def changing(changed: dict[str, str]) -> str:
     return "[^" + "".join(spans) + "]|^ | $"
 
 
-def forms(texts: DataFrame) -> DataFrame:
-    """``digest``, ``form`` and ``look`` of each distinct text that may change; ``texts`` has the columns ``digest`` (of the text, which stands for it, as each code point becomes a row) and ``text``."""
+def forms(texts: DataFrame, only_look: bool = False) -> DataFrame:
+    """``digest``, ``form`` and ``look`` of each distinct text that may change; ``texts`` has the columns ``digest`` (of the text, which stands for it, as each code point becomes a row) and ``text``. With ``only_look`` the form is not made (null)."""
     spark = texts.sparkSession
     safe, look = points(), looks(spark)
     rows = [(ch, safe.get(ch, ch), look.get(ch, ch)) for ch in safe.keys() | look.keys()]
@@ -142,7 +142,8 @@ def forms(texts: DataFrame) -> DataFrame:
     classes = F.broadcast(spark.createDataFrame([(chr(n), unicodedata.combining(chr(n))) for n in range(sys.maxunicode + 1) if unicodedata.combining(chr(n))], "ch string, ccc int"))
     whole = spark.createDataFrame(list(compositions(safe).items()), "cluster_text string, composed string")
     exploded = texts.dropDuplicates(["digest"]).repartition("digest").select("digest", F.posexplode(F.split("text", "")).alias("pos", "ch"))
-    both = F.array(F.struct(F.lit(False).alias("looks"), F.coalesce("form", "ch").alias("parts")), F.struct(F.lit(True).alias("looks"), F.coalesce("look", "ch").alias("parts")))
+    made = [F.struct(F.lit(True).alias("looks"), F.coalesce("look", "ch").alias("parts"))]
+    both = F.array(*made, *([] if only_look else [F.struct(F.lit(False).alias("looks"), F.coalesce("form", "ch").alias("parts"))]))
     mapped = exploded.join(to, "ch", "left").select("digest", "pos", F.inline(both)).select("digest", "looks", "pos", F.posexplode(F.split("parts", "")).alias("sub", "ch")).where("ch <> ''")
     classed = mapped.join(classes, "ch", "left").fillna({"ccc": 0})
     order = Window.partitionBy("digest", "looks").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,11 +156,11 @@ def forms(texts: DataFrame) -> DataFrame:
     best = F.coalesce("composed", F.concat("head_composed", F.array_join(F.expr("slice(chars, 3, size(chars))"), "")), "cluster_text")
     of = lambda looks, name: F.trim(F.array_join(F.transform(F.filter("parts", lambda x: x["looks"] == F.lit(looks)), lambda x: x["part"]), "")).alias(name)
     rebuilt = composed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("looks", "cluster", best.alias("part")))).alias("parts"))
-    return rebuilt.select("digest", of(False, "form"), of(True, "look"))
+    return rebuilt.select("digest", F.lit(None).cast("string").alias("form") if only_look else of(False, "form"), of(True, "look"))
 
 
-def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key``, ``raw`` (digest of the columns as they are), the form of each of ``columns`` under its own name and its look under that name with ``_look``."""
+def consistent(rows: DataFrame, key: str, columns: list[str], only_look: bool = False) -> DataFrame:
+    """``key``, ``raw`` (digest of the columns as they are), the form of each of ``columns`` under its own name and its look under that name with ``_look``; with ``only_look`` the forms are of no use."""
     pattern = changing(looks(rows.sparkSession))
     raw = F.unhex(F.md5(F.to_json(F.struct(*columns))))
     moves = lambda c: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
@@ -170,7 +171,7 @@ def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     still = marked.where(~F.col("moving")).select(key, "raw", *columns, *[F.col(c).alias(f"{c}_look") for c in columns])
     each = marked.where("moving").select(key, "raw", F.posexplode(F.array(*columns)).alias("at", "text"))
     needed = each.where(F.col("text").rlike(pattern)).withColumn("digest", F.unhex(F.md5("text")))
-    made = cut(forms(needed.select("digest", "text")))
+    made = cut(forms(needed.select("digest", "text"), only_look))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     changed = needed.drop("text").join(made, "digest", "left").select(key, "raw", "at", blank("form"), blank("look"))
     kept = each.where(F.coalesce(~F.col("text").rlike(pattern), F.lit(True))).select(key, "raw", "at", F.col("text").alias("form"), F.col("text").alias("look"))
@@ -184,7 +185,7 @@ def consistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def alike_classes(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows whose ``columns`` are all filled and look like those of another row with other strings: ``key``, ``class_id`` (the smallest key of the class), ``n_links`` (rows of the class in another writing) and the ``raw`` digest of its own writing."""
     filled = " and ".join(f"`{c}` is not null and `{c}` <> ''" for c in columns)
-    made = consistent(rows.where(filled), key, columns).where(" and ".join(f"`{c}_look` <> ''" for c in columns))
+    made = consistent(rows.where(filled), key, columns, only_look=True).where(" and ".join(f"`{c}_look` <> ''" for c in columns))
     look = F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"{c}_look") for c in columns]))))
     keyed = cut(made.select(F.col(key), look.alias("look"), "raw"))
     # counted by writing first: no class is gathered, and groups of one writing end here, however many copies they hold
