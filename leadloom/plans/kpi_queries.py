@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, names, rules, urls
+from ..functions import html, rules, urls
 from ..operators import aggregate, classify, dedupe, rank
 from ..session import table
 from .registry import query
@@ -172,12 +172,6 @@ def page_reader(spark: SparkSession, d: str) -> DataFrame:
     return read.select("page_id", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"), "links")
 
 
-@query()
-def display_names(spark: SparkSession, d: str) -> DataFrame:
-    best = names.best_name(F.col("original_title"), F.col("domain"))
-    return table(spark, d, "site_names").select("name_id", best.alias("b")).select("name_id", "b.*")
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Best lead of each shop with score, reasons, grade and label order: filter, score, keep best, rank."""
     leads = table(spark, d, "leads").where("url_status = 'OK'")

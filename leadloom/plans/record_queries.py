@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, names, rules, text, urls
+from ..functions import html, rules, text, urls
 from ..operators import aggregate, classify, dedupe, joins, rank
 from ..session import table
 from .registry import query
@@ -151,13 +151,6 @@ def order_summary(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"), F.round(F.sum("quantity"), 2).alias("quantity"), F.round(F.max("top_price"), 2).alias("top_price"))
 
 
-@query()
-def name_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Every part of a title that may be its name, with its score."""
-    t = table(spark, d, "site_names").where("original_title is not null").select("name_id", "domain", F.posexplode(names.candidates(F.col("original_title"))).alias("ord", "candidate"))
-    return t.select("name_id", "ord", "candidate", names.name_score(F.col("candidate"), F.col("domain")).alias("score"))
-
-
 @query("""
 SELECT lead_id, solo_classification IN ('solo', 'small') AS in_class, coalesce(lead_score >= 40 AND lead_score <= 90, false) OR url_status <> 'OK' AS in_range, CASE WHEN coalesce(solo_score, 0) = -999 THEN 0 ELSE greatest(0, least(100, coalesce(solo_score, 0) * 10)) END AS solo_100 FROM leads
 """)

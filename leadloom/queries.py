@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import schema_drift
-from .plans import composite_queries, flow_queries, kpi_queries, record_queries, relational_queries, url_queries  # noqa: F401
+from .plans import composite_queries, flow_queries, kpi_queries, name_queries, record_queries, relational_queries, url_queries  # noqa: F401
 from .plans.kpi_queries import flagship  # noqa: F401
 from .plans.registry import ORACLE, QUERIES
 from .session import table
