@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,18 +127,12 @@ def renames(rows: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.
     scored = scored.withColumn("score", F.when(F.col("chance") >= 1, F.lit(0.5)).otherwise((F.col("share") - F.col("chance")) / (1 - F.col("chance"))))
     good = scored.where((F.col("share") >= least) & ((F.col("score") >= beyond_chance) | (F.col("chance") >= 1)))
 
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        old, new, out = set(), set(), []
-        order = part.sort_values(["score", "total", "old_field", "new_field"], ascending=[False, False, True, True])
-        for r in order.itertuples(index=False):
-            if r.old_field not in old and r.new_field not in new:
-                old.add(r.old_field)
-                new.add(r.new_field)
-                out.append((r.in_file, r.old_field, r.new_field))
-        return pd.DataFrame(out, columns=["file_id", "old_field", "new_field"])
-
-    # pairs of fields that agree are few
-    return good.select(*group, "score", "total").groupBy("in_file").applyInPandas(take, "file_id bigint, old_field string, new_field string")
+    # the pairs of one file that agree are few: best first, each field once
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), (-F.col("total")).alias("b"), "old_field", "new_field")))
+    start = F.array().cast("array<struct<old_field:string,new_field:string>>")
+    free = lambda held, x: ~F.exists(held, lambda h: (h["old_field"] == x["old_field"]) | (h["new_field"] == x["new_field"]))
+    taken = F.aggregate(order, start, lambda held, x: F.when(free(held, x), F.concat(held, F.array(F.struct(x["old_field"].alias("old_field"), x["new_field"].alias("new_field"))))).otherwise(held))
+    return good.groupBy(F.col("in_file").alias("file_id")).agg(taken.alias("taken")).select("file_id", F.inline("taken"))
 
 
 @dataclass
