@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import let
-from ..session import cut
+from ..session import cut, small
 
 #: Words for yes and no.
 YES, NO = ["true", "あり", "有", "○", "◯", "yes", "はい"], ["false", "なし", "無", "×", "✕", "no", "いいえ"]
@@ -210,7 +210,8 @@ def lineage(c: Compared) -> DataFrame:
 
 def consistent_table(files: DataFrame, rows: DataFrame) -> DataFrame:
     """The one consistent lead table: each value under the lasting name of its field, in its typed branch and in canonical form."""
-    names = lineage(compared(files, rows))
+    # names are a few for each file: where they are counted to be few, values need no shuffle to meet them
+    names = small(cut(lineage(compared(files, rows))))
     seen = entries(rows).where("kind is not null").withColumnRenamed("key", "field").join(names, ["file_id", "field"])
     text = as_text(F.col("value"), F.col("kind"))
     get = lambda of, to: F.when(F.col("kind") == of, F.try_variant_get("value", "$", to))

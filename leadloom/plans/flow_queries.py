@@ -396,3 +396,50 @@ SELECT lead_id, dom AS domain, row_number() OVER (ORDER BY CASE label WHEN '○'
 def region_leads(spark: SparkSession, d: str) -> DataFrame:
     """A region's run from collected leads to its list: liveness by address, live ones, the best of each domain, presentation order."""
     return flows.region_run(*checked(table(spark, d, "leads")), table(spark, d, "leads").select(F.col("lead_id").alias("seq"), F.coalesce("sales_label", F.lit("")).alias("label"))).select(F.col("seq").alias("lead_id"), "domain", "position")
+
+
+KINDS = ["サロン", "ヨガ", "Nail"]
+
+
+@query(f"""
+WITH t AS (SELECT lead_id, repeat(coalesce(display_name, '') || ' ', 6) AS t, coalesce(store_name, '') || CAST(lead_id % 7 AS VARCHAR) || CASE WHEN lead_id % 5 = 0 THEN '選' ELSE '' END AS title FROM leads)
+SELECT lead_id, regexp_matches(title, '[0-9]{{1,3}}選') OR ({' + '.join(f"CASE WHEN (len(t) - len(replace(t, '{w}', ''))) / {len(w)} > 5 THEN 1 ELSE 0 END" for w in KINDS)}) >= 1 AS listing, '10:00〜' || CAST(lead_id % 12 AS VARCHAR) || ':30' AS hours FROM t
+""")
+def page_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that list many businesses, and opening hours after their label."""
+    e = lambda c: F.coalesce(F.col(c), F.lit(""))
+    i = F.col("lead_id")
+    body, title = F.repeat(F.concat(e("display_name"), F.lit(" ")), 6), F.concat(e("store_name"), (i % 7).cast("string"), F.when(i % 5 == 0, "選").otherwise(""))
+    open_at = F.concat(F.lit("x 1:00-2:00 営業時間： 毎日 10:00〜"), (i % 12).cast("string"), F.lit(":30 まで"))
+    return table(spark, d, "leads").select("lead_id", html.listing_signals(body, title, KINDS, kinds=1).alias("listing"), html.hours(open_at).alias("hours"))
+
+
+@query(r"""SELECT page_id, CASE WHEN display_name IS NULL THEN CAST([] AS VARCHAR[]) ELSE [regexp_replace(display_name, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g')] END AS names FROM city_pages""")
+def page_jsonld(spark: SparkSession, d: str) -> DataFrame:
+    """Names of businesses in the JSON-LD of pages."""
+    doc = F.to_json(F.struct(F.array(F.struct(F.lit("LocalBusiness").alias("@type"), F.col("display_name").alias("name")), F.struct(F.lit("WebSite").alias("@type"), F.lit("x").alias("name"))).alias("@graph")))
+    pages = table(spark, d, "city_pages").select("page_id", "url", F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script><script type=\"application/ld+json\">{broken</script>")).alias("html"))
+    return html.read_pages(pages, "page_id").select("page_id", "names")
+
+
+@query(r"""
+WITH f AS (SELECT lead_id, domain, lead_score, url_status FROM leads WHERE url_status = 'OK')
+SELECT lead_id, domain, row_number() OVER (ORDER BY domain NULLS FIRST, lead_score DESC NULLS LAST, lead_id) AS position FROM f
+""")
+def domain_order(spark: SparkSession, d: str) -> DataFrame:
+    """Global positions by domain, falling score and identifier."""
+    from ..operators.rank import positions
+
+    leads = table(spark, d, "leads").where("url_status = 'OK'").select("lead_id", "domain", "lead_score")
+    return positions(leads, [F.col("domain").asc_nulls_first(), F.col("lead_score").desc_nulls_last(), F.col("lead_id")]).select("lead_id", "domain", "position")
+
+
+@query(r"""
+SELECT page_id, coalesce(nullif(display_name, ''), nullif(title, ''), '') || chr(10) || coalesce(url, '') || chr(10) || '△ ' || coalesce(category_guess, '') AS text,
+  list_distinct(list_filter([domain, domain], lambda x: x IS NOT NULL)) AS once FROM city_pages
+""")
+def three_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Leads as three lines of text; elements once, in their first order."""
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    name = F.coalesce(filled("display_name"), filled("title"), F.lit(""))
+    return table(spark, d, "city_pages").select("page_id", sinks.three_lines(name, F.col("url"), F.col("category_guess")).alias("text"), F.array_distinct(F.array_compact(F.array("domain", "domain"))).alias("once"))

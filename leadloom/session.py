@@ -40,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which is counted; beyond that as it is. ``df`` should be cut, so that counting is cheap."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Adds columns that are computed once for each row.
 
